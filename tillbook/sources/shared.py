@@ -1,0 +1,27 @@
+"""Intermediate tables, kept in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``. Without that setting (tests on one machine) the
+    path lies in a new local folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tillbook-")
+    return f"{root.rstrip('/')}/tillbook-{uuid.uuid4().hex}"
+
+
+def write_and_read(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` as a written Parquet table: computed once, read many times, safe against lost
+    executors, and pruned by its partition columns.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
