@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -43,19 +44,27 @@ DATE_FORMATS = (
     "MMM d, yyyy",
 )
 
-# White space as a Python string sees it: the Unicode property plus four separator controls.
-_WS = r"[\s\x1c-\x1f]"
-_NUMBER = rf"(?iU)^{_WS}*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?){_WS}*$"
+# Every character a Python string counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+_INFINITY = "[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
+_DIGITS = r"(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?"
+_PLAIN = r"^[+-]?[0-9]{1,300}+(?:\.[0-9]{0,300}+)?$"
+_NUMBER = rf"^[+-]?(?:{_DIGITS}|{_INFINITY})$"
 
 
 def strip_ws(c: Column) -> Column:
-    """Trim every kind of Unicode white space, which ``trim`` leaves alone."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    """Trim every kind of Unicode white space; plain ``trim`` removes spaces only."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def has_text(c: Column) -> Column:
     """True when the value holds anything but white space; null stays null."""
-    return c.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return c.rlike(f"[^{WHITE_SPACE}]")
 
 
 def clean_header(c: Column) -> Column:
@@ -76,11 +85,29 @@ def to_amount(c: Column, kind: T.DataType, into: T.DataType | None = None) -> Co
     if not isinstance(kind, T.StringType):
         return c if kind == into else c.try_cast(into)
     text = strip_ws(c)
-    if isinstance(into, T.DecimalType):
-        return F.when(c.rlike(_NUMBER), text.try_cast(into))
     value = text.try_cast(into)
-    overflow = (F.abs(value) == F.lit(float("inf"))) & ~c.rlike("(?i)inf")
-    return F.when(c.rlike(_NUMBER) & ~overflow, value)
+    if isinstance(into, T.DecimalType):
+        return F.when(text.rlike(_NUMBER), value)
+    # Apart from plain decimals, a number may be too large for a double; it is then no number,
+    # unless it says infinity.
+    fits = (F.abs(value) < F.lit(float("inf"))) | text.rlike(_INFINITY)
+    return F.when(text.rlike(_PLAIN), value).when(text.rlike(_NUMBER) & fits, value)
+
+
+def _shape(date_format: str) -> str:
+    """Pattern of the texts a date format can match. Checking it first spares the parser, whose
+    refusal of a text is a costly exception.
+    """
+    shapes = {"yyyy": "[0-9]{4}", "MMM": r"\p{L}+", "MM": "[0-9]{2}", "dd": "[0-9]{2}"}
+    tokens = re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", date_format)
+    out = []
+    for token in tokens:
+        text = token.group(0)
+        if token.group(2):
+            out.append(shapes.get(text, "[0-9]{1,2}" if len(text) == 1 else ".+"))
+        else:
+            out.append(re.escape(token.group(1) if text.startswith("'") else text))
+    return f"^{''.join(out)}$"
 
 
 def to_day(c: Column, kind: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -90,4 +117,8 @@ def to_day(c: Column, kind: T.DataType, formats: Sequence[str] = DATE_FORMATS) -
     if not isinstance(kind, T.StringType):
         return c.cast("date")
     text = strip_ws(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    day = F.lit(None)
+    for date_format in reversed(formats):
+        read = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+        day = F.coalesce(F.when(text.rlike(_shape(date_format)), read), day)
+    return day.cast("date")

@@ -27,40 +27,72 @@ _FIELD = r',("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'
 
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line as an array of any length, quotes removed."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
-    return F.transform(raw, _unquote)
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    return F.when(F.contains(line, F.lit('"')), F.transform(quoted, _unquote)).otherwise(
+        F.split(line, ",")
+    )
 
 
 def _unquote(field: Column) -> Column:
-    inner = F.regexp_replace(field, r'(?s)^"(.*)"([^"]*)$', "$1$2")
-    return F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
+    whole = F.substring(field, F.lit(2), F.length(field) - 2)
+    closed = F.when(field.endswith('"'), whole).otherwise(
+        F.regexp_replace(field, r'(?s)^"(.*)"([^"]*)$', "$1$2")
+    )
+    doubled = F.replace(closed, F.lit('""'), F.lit('"'))
+    return F.when(field.startswith('"') & (F.length(field) > 1), doubled).otherwise(field)
+
+
+def with_layout(files: DataFrame, header: Column, spec: LedgerSpec) -> DataFrame:
+    """Add ``layout``, how a file with this header line is laid out: its width, the place of each
+    ledger column (0 when absent) and whether one is named twice. Computed once per file.
+
+    Names that differ in the file but fall together once cleaned count as twice; of names that
+    repeat exactly the first is taken.
+    """
+    wanted = F.array(*[F.lit(c) for c in spec.upload_columns])
+    spellings = F.array_distinct(F.arrays_zip("_header", "_names"))
+    hits = F.filter(spellings, lambda pair: F.array_contains(wanted, pair["_names"]))
+    layout = F.struct(
+        F.size("_header").alias("width"),
+        *[F.array_position("_names", c).cast("int").alias(c) for c in spec.upload_columns],
+        (F.size(hits) > F.size(F.array_intersect("_names", wanted))).alias("clash"),
+    )
+    return (
+        files.withColumn("_header", csv_fields(header))
+        .withColumn("_names", F.transform("_header", clean_header))
+        .withColumn("layout", layout)
+        .drop("_header", "_names")
+    )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once per row.
+
+    A filter on a computed column is normally pushed below and computes it again, in full for every
+    mention. It is not pushed through a generator, here one that yields each row as it is.
+    """
+    return df.select(F.inline(F.array(F.struct("*"))))
 
 
 def parse_csv_lines(lines: DataFrame, spec: LedgerSpec) -> DataFrame:
-    """Text columns of the ledger from ``fields`` (array of texts) laid out by ``header`` (array).
+    """Text columns of the ledger from CSV texts ``line`` and their file's ``layout``.
 
-    Each line finds its columns through its own file's header, so files may order them differently.
+    Each line finds its columns through its own file's layout, so files may order them differently.
     A column the file lacks is null. Adds ``reject_reason`` where the line or its header is unusable,
     unless the input already gives one.
     """
-    names = F.transform("header", clean_header)
-    at = {c: F.array_position(F.col("_names"), c) for c in spec.upload_columns}
-    # Names that differ in the file but fall together once cleaned; plain repeats keep the first.
-    spellings = F.array_distinct("header")
-    clash = F.exists(
-        F.array(*[F.lit(c) for c in spec.upload_columns]),
-        lambda c: F.size(F.filter(spellings, lambda h: clean_header(h) == c)) > 1,
-    )
-    reason = F.when(clash, "duplicate_header").when(
-        F.size("fields") > F.size("header"), "too_many_fields"
+    reason = F.when(F.col("layout.clash"), "duplicate_header").when(
+        F.size("_fields") > F.col("layout.width"), "too_many_fields"
     )
     if "reject_reason" in lines.columns:
         reason = F.coalesce(F.col("reject_reason"), reason)
     kept = [c for c in (TENANT, "file") if c in lines.columns]
-    return lines.withColumn("_names", names).select(
-        *kept,
-        *[F.when(p > 0, F.get("fields", (p - 1).cast("int"))).alias(c) for c, p in at.items()],
-        reason.alias("reject_reason"),
+    place = lambda c: F.col(f"layout.{c}")
+    values = [
+        F.when(place(c) > 0, F.get("_fields", place(c) - 1)).alias(c) for c in spec.upload_columns
+    ]
+    return lines.withColumn("_fields", csv_fields(F.col("line"))).select(
+        *kept, *values, reason.alias("reject_reason")
     )
 
 
@@ -79,7 +111,7 @@ def flag_upload(
     df = normalize_columns(df)
     columns = [*spec.upload_columns]
     extra = [c for c in ("file", "reject_reason") if c in df.columns]
-    table = conform(df, [*columns, *extra])
+    table = settled(conform(df, [*columns, *extra]))
     table = table.withColumns({c: null_if_na(F.col(c).cast("string"), na_tokens) for c in columns})
     text = T.StringType()
     typed = table.withColumns(
@@ -97,7 +129,7 @@ def flag_upload(
     )
     if "reject_reason" in extra:
         reason = F.coalesce(F.col("reject_reason"), reason)
-    return typed.withColumn("reject_reason", reason)
+    return settled(typed.withColumn("reject_reason", reason))
 
 
 def ingest_upload(df: DataFrame, spec: LedgerSpec, **options) -> tuple[DataFrame, DataFrame]:

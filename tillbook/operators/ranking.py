@@ -23,9 +23,11 @@ def join_by_key(
     The join key carries a salt hashed from the ``spread`` columns, so one tenant's rows reach many
     tasks, and a later grouping by tenant does not inherit a per-tenant layout. Nothing is hinted:
     AQE turns the join into a broadcast when the measured size allows, else it stays a shuffled join
-    whose leftover skew AQE splits. ``by=[]`` joins on the salt alone.
+    whose leftover skew AQE splits. ``by=[]`` joins on the salt alone. ``salts`` is a power of two.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    # A masked hash is never null. A nullable salt would draw a null filter through the aggregate
+    # below ``rows`` and so keep it from sharing a shuffle with the one below ``per_key``.
+    salted = rows.withColumn("_salt", F.xxhash64(*spread).bitwiseAND(salts - 1))
     copies = per_key.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.operators.ingest import csv_fields, parse_csv_lines
+from tillbook.operators.ingest import parse_csv_lines, with_layout
 from tillbook.operators.ranking import join_by_key
 from tillbook.spec import TENANT, LedgerSpec
 
 CSV_GLOB = "*.[cC][sS][vV]"
-_BREAK = r"\r\n|\r|\n"
 _RECORD = "\u001e"
 
 
 def _repair(text: Column) -> Column:
     """Text without the bytes that are not UTF-8 and without a leading byte order mark."""
-    valid = F.regexp_replace(F.make_valid_utf8(text), "\ufffd", "")
-    return F.regexp_replace(valid, "^\ufeff", "")
+    valid = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return F.ltrim(valid, F.lit("\ufeff"))
+
+
+def _line_feeds(text: Column, feed: str = "\n") -> Column:
+    """Every kind of line break as ``feed``."""
+    for found in ("\r\n", "\r", "\n"):
+        text = text if found == feed else F.replace(text, F.lit(found), F.lit(feed))
+    return text
 
 
 def _filled(line: Column) -> Column:
@@ -56,17 +62,14 @@ def read_csv_uploads(
         .withColumn("_at", F.monotonically_increasing_id())
         .groupBy("file")
         .agg(F.min_by("line", "_at").alias("_head"))
-        .withColumn("header", csv_fields(F.col("_head")))
     )
+    first = with_layout(first, F.col("_head"), spec)
     body = join_by_key(lines.drop("_start"), first, ["file"], ["line"]).filter(
         F.col("line") != F.col("_head")
     )
     folder = F.regexp_extract("file", rf"/{TENANT}=([^/]+)/", 1)
     owner = F.lit(tenant) if tenant is not None else F.try_url_decode(F.nullif(folder, F.lit("")))
-    fields = body.select(
-        owner.alias(TENANT), "file", "header", csv_fields(F.col("line")).alias("fields")
-    )
-    return parse_csv_lines(fields, spec)
+    return parse_csv_lines(body.select(owner.alias(TENANT), "file", "layout", "line"), spec)
 
 
 def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False) -> DataFrame:
@@ -82,13 +85,11 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
         # Pieces at even places lie outside quotes: only their line breaks end a record.
         pieces = F.transform(
             F.split("_text", '"'),
-            lambda piece, i: F.when(i % 2 == 0, F.regexp_replace(piece, _BREAK, _RECORD)).otherwise(
-                piece
-            ),
+            lambda piece, i: F.when(i % 2 == 0, _line_feeds(piece, _RECORD)).otherwise(piece),
         )
         records = F.split(F.array_join(pieces, '"'), _RECORD)
     else:
-        records = F.split("_text", _BREAK)
+        records = F.split(_line_feeds(F.col("_text")), "\n")
     named = F.coalesce((F.col("contents") != "") & (F.col("filename") != ""), F.lit(False))
     decoded = (
         uploads.select(
@@ -106,12 +107,13 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
         .when(F.col("_text").isNull(), "bad_encoding")
         .when(F.size("_lines") < 2, "no_rows")
     )
-    body = F.when(reason.isNull(), F.slice("_lines", F.lit(2), F.size("_lines")))
-    rows = decoded.select(
-        TENANT,
-        "file",
-        reason.alias("reject_reason"),
-        csv_fields(F.get("_lines", F.lit(0))).alias("header"),
-        F.explode_outer(body).alias("_line"),
+    usable = decoded.select(TENANT, "file", "_lines", reason.alias("reject_reason")).withColumn(
+        "_lines", F.when(F.col("reject_reason").isNull(), F.col("_lines"))
+    )
+    body = F.slice("_lines", F.lit(2), F.size("_lines"))
+    rows = (
+        with_layout(usable, F.get("_lines", F.lit(0)), spec)
+        .withColumn("line", F.explode_outer(body))
+        .drop("_lines")
     )
-    return parse_csv_lines(rows.withColumn("fields", csv_fields(F.col("_line"))), spec)
+    return parse_csv_lines(rows, spec)
