@@ -1,0 +1,95 @@
+"""Column functions on edge values."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from helpers import day
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tillbook import functions as fn
+from tillbook.functions.labels import trend_direction
+
+TEXT = T.StringType()
+
+
+def one_column(spark, values, kind, column):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(column(F.col("v"))).collect()]
+
+
+NUMBERS = {
+    "12": 12, " 13 ": 13, "1,234": None, "₵5": None, "1e3": 1000, "inf": math.inf, "": None,
+    "NA": None, "0x10": None, "1d": None, "-4": -4, "1_000": None, "+4": 4, ".5": 0.5, "5.": 5,
+    "1f": None, "nan": None, "1e400": None, "-Infinity": -math.inf, "\t7\n": 7, "1 2": None,
+    " 8　": 8, "9" * 400: None,
+}
+
+
+def test_numbers(spark):
+    out = one_column(spark, list(NUMBERS), "string", lambda c: fn.to_amount(c, TEXT))
+    assert dict(zip(NUMBERS, out)) == NUMBERS
+
+
+def test_decimal_amounts(spark):
+    into = T.DecimalType(18, 2)
+    out = one_column(spark, ["12.345", "1e3", "x", None], "string", lambda c: fn.to_amount(c, TEXT, into))
+    assert [v if v is None else float(v) for v in out] == [12.35, 1000.0, None, None]
+
+
+DATES = {
+    "2024-01-05": "2024-01-05", "2024-1-5": "2024-01-05", "01/02/2024": "2024-01-02",
+    "2024/3/9": "2024-03-09", " 2024-01-05 ": "2024-01-05", "2024-01-05 10:30:00": "2024-01-05",
+    "2024-01-05T23:59:59": "2024-01-05", "20240105": "2024-01-05", "5 Jan 2024": "2024-01-05",
+    "Jan 5, 2024": "2024-01-05", "2024-13-01": None, "2024-02-30": None, "soon": None, "": None,
+    "13/13/2024": None,
+}
+
+
+def test_dates(spark):
+    out = one_column(spark, list(DATES), "string", lambda c: fn.to_day(c, TEXT))
+    assert dict(zip(DATES, out)) == {k: day(v) for k, v in DATES.items()}
+
+
+def test_white_space(spark):
+    values = ["  a ", "\tb ", " ", "\x1c\x1f", None, "", "c d"]
+    assert one_column(spark, values, "string", fn.strip_ws) == ["a", "b", "", "", None, "", "c d"]
+    assert one_column(spark, values, "string", fn.has_text) == [
+        True, True, False, False, None, False, True,
+    ]
+
+
+@pytest.mark.parametrize("text", ["  x\x85", "  y ", "﻿z", "​w"])
+def test_strip_as_python_does(spark, text):
+    assert one_column(spark, [text], "string", fn.strip_ws) == [text.strip()]
+
+
+def test_currency(spark):
+    out = one_column(spark, [0.5, 2.5, 1234567.5, -1234.5], "double", fn.format_currency)
+    assert out == ["₵0", "₵2", "₵1,234,568", "₵-1,234"]
+
+
+def test_one_decimal_as_python_does(spark):
+    values = [0.25, 0.35, 12345.65, 99.95, 0.05, 2.0]
+    assert one_column(spark, values, "double", fn.one_decimal) == [f"{v:.1f}" for v in values]
+
+
+def test_rounding_is_half_even_on_the_decimal_text(spark):
+    out = one_column(spark, [0.125, 2.675, 0.135], "double", lambda c: F.bround(c, 2))
+    assert out == [0.12, 2.68, 0.14]
+
+
+def test_trend(spark):
+    pairs = [(110.0, 100.0), (90.0, 100.0), (100.0, 100.0), (5.0, 0.0), (5.0, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double")
+    pct = fn.trend(F.col("a"), F.col("b"))
+    out = df.orderBy("i").select(pct, trend_direction(pct), fn.trend_label(pct)).collect()
+    assert [tuple(r) for r in out] == [
+        (10.0, "up", "▲ 10.0% vs prev period"),
+        (-10.0, "down", "▼ 10.0% vs prev period"),
+        (0.0, "flat", "→ No change vs prev period"),
+        (None, "none", "— No prior period"),
+        (None, "none", "— No prior period"),
+    ]

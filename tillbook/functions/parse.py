@@ -64,7 +64,7 @@ def strip_ws(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """True when the value holds anything but white space; null stays null."""
-    return c.rlike(f"[^{WHITE_SPACE}]")
+    return c.rlike(f"[^{''.join(f'\\u{ord(w):04x}' for w in WHITE_SPACE)}]")
 
 
 def clean_header(c: Column) -> Column:

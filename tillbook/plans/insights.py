@@ -46,7 +46,11 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     alone = F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), f"array<struct<{fields}>>", strict)
     is_object = F.col("_text").startswith("{") & F.col("_text").endswith("}")
     parsed = F.when(is_object & (F.size("_alone") == 1), F.get("_alone", F.lit(0)))
-    other_json = ~is_object & F.try_parse_json("_text").isNotNull()
+    listed = F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]")))
+    single = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(
+        listed, "$[1]", "variant"
+    ).isNull()
+    other_json = ~is_object & F.coalesce(single, F.lit(False))
     status = (
         F.when(F.col("_text").isNull() | other_json, "error")
         .when(F.col("_reply").isNull(), "bad_json")

@@ -31,6 +31,11 @@ def _filled(line: Column) -> Column:
     return line.rlike(r"[^ \t\r\n]")
 
 
+def _decoded(text: Column) -> Column:
+    """Text with its percent escapes resolved; a plus sign stays one."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def read_csv_ledger(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV files that share one header, all columns as text. ``multiline`` allows line breaks inside
     quotes, at the price of one task per file.
@@ -68,7 +73,9 @@ def read_csv_uploads(
         F.col("line") != F.col("_head")
     )
     folder = F.regexp_extract("file", rf"/{TENANT}=([^/]+)/", 1)
-    owner = F.lit(tenant) if tenant is not None else F.try_url_decode(F.nullif(folder, F.lit("")))
+    # The path is encoded as a URI, and the folder name inside it may be escaped once more.
+    name = _decoded(F.nullif(folder, F.lit("")))
+    owner = F.lit(tenant) if tenant is not None else F.coalesce(_decoded(name), name)
     return parse_csv_lines(body.select(owner.alias(TENANT), "file", "layout", "line"), spec)
 
 
