@@ -36,7 +36,7 @@ from tillbook.operators.periods import (
     period_bounds,
     prior_kpis,
 )
-from tillbook.operators.ranking import join_by_key, rank_slice
+from tillbook.operators.ranking import join_by_key, keep_by_key, rank_slice
 
 __all__ = [
     "append_rows",
@@ -54,6 +54,7 @@ __all__ = [
     "goal_progress",
     "ingest_upload",
     "join_by_key",
+    "keep_by_key",
     "kpis",
     "kpis_with_trend",
     "ledger_listing",

@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.spec import KEY, TENANT, LedgerSpec
+from tillbook.operators.ranking import keep_by_key
+from tillbook.spec import BY, KEY, TENANT, LedgerSpec
 
 
 def _ledger_types(df: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def append_rows(ledger: DataFrame, new: DataFrame, tenant: str | None = None) ->
 def clear_tenant(ledger: DataFrame, tenants: Iterable[str] | DataFrame) -> DataFrame:
     """Ledger without the given tenants."""
     if isinstance(tenants, DataFrame):
-        return ledger.join(tenants.select(TENANT), TENANT, "left_anti")
+        return keep_by_key(ledger, tenants, BY, matching=False)
     return ledger.filter(~F.col(TENANT).isin(list(tenants)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.operators.clean import listing_columns
-from tillbook.operators.ranking import join_by_key, rank_slice
+from tillbook.operators.ranking import join_by_key, keep_by_key, rank_slice
 from tillbook.spec import BY, LedgerSpec
 
 Day = dt.date | str | None
@@ -61,7 +61,7 @@ def filter_ledger(
         tables["category"], categories = categories, None
     rows = ledger.filter(selection(spec, start, end, parties, categories))
     for column, table in tables.items():
-        rows = rows.join(table.toDF(column), column, "left_semi")
+        rows = keep_by_key(rows, table.toDF(column), [column])
     return rows
 
 

@@ -34,6 +34,15 @@ def join_by_key(
     return salted.join(copies, [*by, "_salt"], how).drop("_salt")
 
 
+def keep_by_key(
+    rows: DataFrame, keys: DataFrame, by: Sequence[str], matching: bool = True
+) -> DataFrame:
+    """``rows`` whose ``by`` value is (or is not) among ``keys``; a hot value is spread as above."""
+    spread = [c for c in rows.columns if c not in by] or list(by)
+    how = "left_semi" if matching else "left_anti"
+    return join_by_key(rows, keys.select(*by), by, spread, how).select(*rows.columns)
+
+
 def rank_slice(
     df: DataFrame,
     by: Sequence[str],

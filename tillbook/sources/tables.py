@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.operators.filters import Day, as_day
-from tillbook.spec import TENANT, LedgerSpec, ledger_schema
+from tillbook.operators.ranking import keep_by_key
+from tillbook.spec import BY, TENANT, LedgerSpec, ledger_schema
 
 MONTH = "month"
 
@@ -38,7 +39,7 @@ def scan_ledger(
     if tenants is None:
         return ledger
     if isinstance(tenants, DataFrame):
-        return ledger.join(tenants.select(TENANT).distinct(), TENANT, "left_semi")
+        return keep_by_key(ledger, tenants, BY)
     return ledger.filter(F.col(TENANT).isin(list(tenants)))
 
 

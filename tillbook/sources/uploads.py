@@ -69,7 +69,7 @@ def read_csv_uploads(
         .agg(F.min_by("line", "_at").alias("_head"))
     )
     first = with_layout(first, F.col("_head"), spec)
-    body = join_by_key(lines.drop("_start"), first, ["file"], ["line"]).filter(
+    body = join_by_key(lines, first, ["file"], ["_start", "line"]).filter(
         F.col("line") != F.col("_head")
     )
     folder = F.regexp_extract("file", rf"/{TENANT}=([^/]+)/", 1)
