@@ -433,7 +433,7 @@ def all_sql() -> dict[str, str]:
     twins = ledger_sql(EXPENSE_LEDGER, "vendor", "amount", "budget", "5e6")
     twins |= upload_sql(RAW_EXPENSES, "vendor", "amount")
     out |= {n if n == "budget_progress" else f"expense_{n}": q for n, q in twins.items()}
-    out |= CHANGE_SQL | CHECK_SQL
+    out |= CHANGE_SQL | CHECK_SQL | {"csv_ingest": out["ingest_upload"]}
     money = "CAST({} AS DOUBLE) AS {}".format
     out |= {
         "profit": f"""WITH {_summary()}

@@ -142,14 +142,28 @@ def scan_ledger(spark: SparkSession, folder: str, spec: LedgerSpec, read: Callab
     return _plain(src.scan_ledger(spark, path, spec, tenants, amount=kind))
 
 
+# Written CSV keeps the outer white space of its values.
+CSV = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def csv_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw sales as CSV files with untidy headers and a column too many, read with one header for
+    all, cleaned and split; the accepted rows.
+    """
+    path = src.shared_folder(spark)
+    raw = wh.raw_sales(spark, folder).toDF(" USER_ID", "Note", "Date ", "PRODUCT", " Sales ", "Category")
+    raw.write.csv(path, **CSV)
+    table = ops.normalize_columns(src.read_csv_ledger(spark, path))
+    return ops.ingest_upload(ops.conform(table, SALES.upload_columns), SALES)[0]
+
+
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Raw sales written as CSV files, one folder per tenant, and read back as uploads."""
     path = src.shared_folder(spark)
     raw = wh.raw_sales(spark, folder).drop("id")
-    raw.write.partitionBy("user_id").csv(
-        path, header=True, escape='"', ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    raw.write.partitionBy("user_id").csv(path, **CSV)
     return src.read_csv_uploads(spark, path, SALES).drop("file", "reject_reason")
 
 
@@ -272,7 +286,7 @@ def all_queries() -> dict[str, Query]:
         "expense_ingest_quarantine": _flagged(wh.raw_expenses, EXPENSES, False),
     }
     for query in (
-        profit, global_kpis, ledger_listing_headings, csv_scan, decode_uploads, validate_entries,
+        profit, global_kpis, ledger_listing_headings, csv_ingest, csv_scan, decode_uploads, validate_entries,
         validate_edits, append_rows, clear_tenant, apply_updates, apply_deletes, apply_changes,
         business_summary, summary_json, insight_prompts, parse_replies,
     ):

@@ -53,12 +53,12 @@ def rank_slice(
 ) -> DataFrame:
     """Rows ranked ``first``..``last`` within each ``by`` group; ``order`` must be a total order.
 
-    Up to the group-limit threshold of the session Spark drops rows ranked past ``last`` in every
+    Below the group-limit threshold of the session Spark drops rows ranked past ``last`` in every
     task before the shuffle, so a group costs at most ``last`` rows per task. Deeper slices take
     positions from one distributed sort instead of gathering a group in one task.
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if last > threshold:
+    if last >= threshold:
         return _deep_slice(df, by, order, last, first, rank)
     if not by:
         df = df.orderBy(*order).limit(last)
