@@ -7,8 +7,10 @@ from compare import compare, connect
 from conftest import DATA
 
 import __spark_entry__ as registered
+from checks.oracle import all_sql
+from checks.queries import all_queries
 
-SQL = registered.oracle_sql()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +19,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(registered.queries())
+    assert set(SQL) == set(all_queries())
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, data, con, name):
-    assert compare(registered.queries()[name](spark, data), con, SQL[name]) == []
+    assert compare(all_queries()[name](spark, data), con, SQL[name]) == []
 
 
 def test_entry(spark):

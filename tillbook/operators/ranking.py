@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillbook.shared import write_and_read
+
 SALTS = 16
 
 
@@ -43,6 +45,23 @@ def keep_by_key(
     return join_by_key(rows, keys.select(*by), by, spread, how).select(*rows.columns)
 
 
+def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the BIGINT position 1, 2, ... of each row in ``order``, without one task sorting all.
+
+    Rows are range-partitioned and written once with their bucket (a recomputed range partitioning
+    might cut elsewhere); counts per bucket, one row each, give the offsets.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id())
+    dealt = write_and_read(dealt)
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    running = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_bucket", F.coalesce(running, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    numbered = dealt.join(F.broadcast(starts), "_bucket")  # one row per bucket
+    return numbered.withColumn(name, F.col("_start") + within).select(*df.columns, name)
+
+
 def rank_slice(
     df: DataFrame,
     by: Sequence[str],
@@ -51,11 +70,12 @@ def rank_slice(
     first: int = 1,
     rank: str = "rank",
 ) -> DataFrame:
-    """Rows ranked ``first``..``last`` within each ``by`` group; ``order`` must be a total order.
+    """Rows ranked ``first``..``last`` within each ``by`` group (a null key is a group too);
+    ``order`` must be a total order.
 
     Below the group-limit threshold of the session Spark drops rows ranked past ``last`` in every
-    task before the shuffle, so a group costs at most ``last`` rows per task. Deeper slices take
-    positions from one distributed sort instead of gathering a group in one task.
+    task before the shuffle. Deeper slices take positions from one distributed sort instead of
+    gathering a group in one task. Both give the same rows.
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     if last >= threshold:
@@ -70,14 +90,12 @@ def rank_slice(
 def _deep_slice(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], last: int, first: int, rank: str
 ) -> DataFrame:
-    import pyspark.pandas as ps
-
-    with ps.option_context("compute.default_index_type", "distributed-sequence"):
-        placed = df.orderBy(*by, *order).pandas_api().to_spark(index_col="_at")
+    placed = write_and_read(number_rows(df, [*map(F.col, by), *order], "_at"))
     starts = placed.groupBy(*by).agg(F.min("_at").alias("_start"))
-    joined = join_by_key(placed, starts, by, ["_at"])
-    return (
-        joined.withColumn(rank, (F.col("_at") - F.col("_start") + 1).cast("int"))
-        .filter(F.col(rank).between(first, last))
-        .select(*df.columns, rank)
-    )
+    same = F.lit(True)
+    for c in by:
+        same = same & placed[c].eqNullSafe(starts[c])
+    joined = placed.join(starts, same).select(*[placed[c] for c in placed.columns], "_start")
+    position = F.col("_at") - F.col("_start") + 1
+    kept = joined.filter(position.between(first, last))
+    return kept.withColumn(rank, position.cast("int")).select(*df.columns, rank)

@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``. Without that setting (tests on one machine) the
-    path lies in a new local folder.
+    """A new path below ``spark.checkpoint.dir``, else below the context's checkpoint directory.
+
+    Where neither is set, a local master gets a new local folder and any other master an error: its
+    executors could not read each other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tillbook-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tillbook-")
     return f"{root.rstrip('/')}/tillbook-{uuid.uuid4().hex}"
 
 

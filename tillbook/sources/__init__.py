@@ -1,6 +1,6 @@
 """Ledger tables, uploaded files and the shared folder."""
 
-from tillbook.sources.shared import shared_folder, write_and_read
+from tillbook.shared import shared_folder, write_and_read
 from tillbook.sources.tables import scan_ledger, write_json, write_ledger
 from tillbook.sources.uploads import decode_uploads, read_csv_ledger, read_csv_uploads
 
