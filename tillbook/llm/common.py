@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +64,62 @@ def _star(every: DataFrame, moved: DataFrame, own: bool = False) -> DataFrame:
     if own:
         out = out.union(least.select("x", F.col("_m").alias("y")))
     return out.filter("x > y").distinct()
+
+
+def deal_blocks(members: DataFrame, group: str, number: str, most: int, kernel, schema: str) -> DataFrame:
+    """Run ``kernel`` over all pairs of members of each group, in blocks of bounded size.
+
+    ``members`` is a written table with a group, a number and a payload per row. A group of at most
+    ``most`` rows is one block; a larger one is divided by a hash of the number, and each pair of its
+    blocks (and each block with itself) is dealt out by itself, so that no task holds a group. Pairs of
+    blocks are range-partitioned, which packs small groups together. ``kernel`` gets the rows of one
+    pair of blocks as two frames (the same one twice for a block with itself) and returns a frame.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1")
+    parts = F.ceil(F.col("_m") / most).cast("int")
+    blocked = members.join(sizes, group).withColumn("_n", parts).withColumn(
+        "_block", F.pmod(F.xxhash64(number), F.col("_n")).cast("int")
+    )
+    dealt = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
+    keys = [group, "_low", "_high"]
+    dealt = dealt.drop("_m", "_n", "_other").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(parts, keys):
+            low, high = rows["_low"].iat[0], rows["_high"].iat[0]
+            left, right = rows[rows["_block"] == low], rows[rows["_block"] == high]
+            if len(left) and len(right):
+                out = kernel(left, right, low == high)
+                if len(out):
+                    yield out
+
+    return dealt.mapInPandas(run, schema)
+
+
+def runs(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, from batches sorted by the keys."""
+    held = None
+    for part in parts:
+        if len(part):
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            new = (part[keys] != part[keys].shift()).any(axis=1).to_numpy()
+            starts = [*np.flatnonzero(new), len(part)]
+            for a, b in zip(starts[:-2], starts[1:-1]):
+                yield part.iloc[a:b]
+            held = part.iloc[starts[-2] :]
+    if held is not None:
+        yield held
+
+
+def least_linked(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest number that each row and column reaches over the links of a boolean matrix."""
+    a, b, top = left.copy(), right.copy(), np.iinfo(np.int64).max
+    while True:
+        a2 = np.minimum(a, np.where(linked, b[None, :], top).min(1, initial=top))
+        b2 = np.minimum(b, np.where(linked, a2[:, None], top).min(0, initial=top))
+        if same:
+            a2 = b2 = np.minimum(a2, b2)
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2

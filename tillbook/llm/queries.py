@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import licenses, mixing, secrets, sharding, urls
+from tillbook.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, secrets, sharding, toxicity, urls
 from tillbook.llm.common import utf8_bytes
+from tillbook.sources import write_and_read
 
 #: The rules of the url query.
 URL_RULES = (
@@ -32,6 +33,13 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    leaks = decontaminate.find_leaks(_documents(spark, folder), benchmark)
+    return leaks.select("doc_id", "item_id", "n_windows", "n_shared", "exact")
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     found = secrets.scan_secrets(_documents(spark, folder).select("doc_id", "text"))
@@ -44,6 +52,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and survivor of every vector."""
+    return embeddings.link_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's url."""
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
@@ -51,6 +64,21 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("page.page_id"), "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _documents(spark, folder).select("doc_id", "text")
+    model = toxicity.fit_documents(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    tagged = toxicity.tag_documents(docs, model)
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return tagged.select(
+        F.col("row.doc_id"),
+        quality.held_out(F.col("row.doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.array_join(places, ",").alias("spans"),
+    )
+
+
 def op7_shard(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document."""
     docs = _documents(spark, folder)
@@ -68,6 +96,26 @@ def op7_shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document."""
+    linked = jaccard.linked_documents(_documents(spark, folder))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = _documents(spark, folder).select("doc_id", "text")
+    known = quality.held_out(F.col("row.doc_id")).alias("held_out")
+    stats = write_and_read(quality.with_statistics(docs).select(F.col("row.doc_id"), known, "stats"))
+    rows = quality.training_rows(
+        spark.read.parquet(f"{folder}/labels.parquet"),
+        ~quality.held_out(F.col("doc_id")), "quality", quality.MAX_TRAINING_ROWS,
+    )
+    training = write_and_read(stats.join(rows, "doc_id").select("stats", "label"))
+    scored = stats.withColumn("score", quality.fit(training).score(F.col("stats")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences in every document."""
     found = licenses.scan_licenses(_documents(spark, folder).select("doc_id", "text"))
@@ -80,5 +128,8 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op3_secret_scan, op5_url_filter, op7_shard, op10_license_scan)
+    found = (
+        op1_mix_sources, op2_decontaminate, op3_secret_scan, op4_near_vectors, op5_url_filter,
+        op6_toxicity, op7_shard, op8_jaccard_join, op9_quality, op10_license_scan,
+    )
     return {f.__name__: f for f in found}
