@@ -61,11 +61,16 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` with a column ``tokens`` exploded to ``window``, ``at`` and ``slots`` (array of values
     that stand in placeholders), at every token; shorter texts are one window."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - width + 1, F.lit(1)))
-    rows = rows.filter(F.size("tokens") > 0).withColumn("at", F.explode(starts))
-    part = F.slice(F.col("tokens"), F.col("at"), F.lit(width))
-    words = F.array_join(F.transform(part, lambda x: x["t"]), " ")
-    slots = F.transform(F.filter(part, lambda x: x["t"].isin("#", "@", "%")), lambda x: F.concat(x["t"], x["v"]))
-    return rows.withColumns({"window": F.concat(words, F.lit(" ")), "slots": slots}).drop("tokens")
+
+    def window(at: Column) -> Column:
+        part = F.slice(F.col("tokens"), at, F.lit(width))
+        words = F.array_join(F.transform(part, lambda x: x["t"]), " ")
+        slots = F.transform(F.filter(part, lambda x: x["t"].isin("#", "@", "%")), lambda x: F.concat(x["t"], x["v"]))
+        return F.struct(at.alias("at"), F.concat(words, F.lit(" ")).alias("window"), slots.alias("slots"))
+
+    kept = [c for c in rows.columns if c != "tokens"]
+    found = rows.filter(F.size("tokens") > 0).select(*kept, F.explode(F.transform(starts, window)).alias("_w"))
+    return found.select(*kept, "_w.*")
 
 
 def find_leaks(

@@ -38,7 +38,8 @@ def statistics(text: Column) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     count = F.greatest(F.size(words), F.lit(1))
-    repeats = F.filter(words, lambda w, i: w == F.get(words, i - 1))
+    after = F.slice(words, F.lit(2), count)
+    repeats = F.filter(F.zip_with(words, after, lambda a, b: a == b), lambda same: same)
     # Distinct words grow with the text's length about as its square root.
     spread = F.size(F.array_distinct(words)) / F.sqrt(count)
     found = {

@@ -56,16 +56,16 @@ def located(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        value = F.get(values, i)
-        end = start + F.length(value)
-        hit = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+    def add(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["value"])
+        hit = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(F.concat(state["hits"], F.array(hit)).alias("hits"), end.alias("at"))
 
     begin = F.struct(none.alias("hits"), F.lit(0).alias("at"))
-    steps = F.sequence(F.lit(0), F.size(values) - 1)
-    return F.when(text.rlike(pattern), F.aggregate(steps, begin, add, lambda s: s["hits"])).otherwise(none)
+    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())  # there is a gap after the last match
+    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, add, lambda s: s["hits"])).otherwise(none)
 
 
 def base_hits(text: Column, pattern: str, group: int, least: int) -> Column:

@@ -227,12 +227,19 @@ def lexicon_of(known: DataFrame, least: int = 3, odds: float = 1.5, evidence: fl
     speak once. ``evidence`` is the least likelihood ratio statistic against the share of label 1.
     """
     words = F.filter(F.split(F.lower("text"), NOT_TOKEN), lambda w: w != "")
-    context = lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(words, i - 1), w, F.get(words, i + 1)).alias("c"))
+    none = F.array(F.lit(""))
+    before, after = F.concat(none, "words"), F.slice("words", 2, 1 << 30)
+    neighbours = F.arrays_zip(before.alias("p"), F.col("words").alias("w"), after.alias("q"))
+    context = F.transform(
+        neighbours, lambda o: F.struct(o["w"].alias("w"), F.xxhash64(o["p"], o["w"], o["q"]).alias("c"))
+    )
     entries = [F.col("o.w")] + [
         F.when(F.length("o.w") > n, F.concat(F.substring("o.w", 1, n), F.lit("*"))) for n in (5, 4)
     ]
     seen = (
-        known.select("label", F.explode(F.transform(words, context)).alias("o"))
+        known.select("label", words.alias("words"))
+        .select("label", F.explode(context).alias("o"))
+        .filter("o.w is not null")
         .select("label", "o.c", F.explode(F.array_compact(F.array(*entries))).alias("entry"))
         .groupBy("entry", "c")
         .agg(F.max("label").alias("label"))
