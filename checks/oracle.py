@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from checks.queries import END, START
-from tillbook.functions import CSV_NA_TOKENS
 from tillbook.plans.insights import PROMPT_HEAD, PROMPT_TAIL
 
 LINES = """lines AS (
-  SELECT l.*, o.o_orderdate, 't' || c.c_nationkey AS user_id,
+  SELECT l.*, o.o_orderdate, c_nationkey, 't' || c.c_nationkey AS user_id,
          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
                    CAST(l_quantity AS INTEGER)) AS id,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price
@@ -18,29 +17,32 @@ SALES_LEDGER = f"""{LINES}, ledger AS (
   SELECT user_id, id,
          CASE WHEN l_quantity = 50 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
          p_name AS product, price AS sales,
-         CASE WHEN l_returnflag = 'R' THEN '' ELSE p_type END AS category
+         CASE WHEN l_returnflag = 'R' OR c_nationkey = 7 THEN '' ELSE p_type END AS category
   FROM lines JOIN part ON l_partkey = p_partkey)"""
 
 EXPENSE_LEDGER = f"""{LINES}, ledger AS (
   SELECT user_id, id,
          CASE WHEN l_quantity = 50 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date,
          s_name AS vendor, price * CAST(l_discount AS DECIMAL(4,2)) AS amount,
-         CASE WHEN l_returnflag = 'R' THEN '' ELSE l_linestatus END AS category
+         CASE WHEN l_returnflag = 'R' OR c_nationkey = 7 THEN '' ELSE l_linestatus END AS category
   FROM lines JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def _raw(day: str, party: str, source: str, amount: str, category: str, table: str, key: str) -> str:
     return f"""{LINES}, raw AS (
   SELECT user_id, id,
-         CASE WHEN l_quantity = 50 THEN 'not a date'
-              WHEN l_quantity = 49 THEN strftime({day}, '%m/%d/%Y')
+         CASE l_quantity WHEN 43 THEN NULL WHEN 50 THEN 'not a date'
+              WHEN 49 THEN strftime({day}, '%m/%d/%Y') WHEN 48 THEN strftime({day}, '%-d-%b-%y')
+              WHEN 47 THEN strftime({day}, '%Y-%m-%dT10:00:00Z')
+              WHEN 46 THEN strftime({day}, '%-m/%-d/%Y 0:00')
+              WHEN 45 THEN strftime({day}, '%B %-d, %Y') WHEN 44 THEN strftime({day}, '%Y.%m.%d')
               ELSE strftime({day}, '%Y-%m-%d') END AS date,
-         CASE WHEN l_quantity = 4 THEN '   ' WHEN l_quantity = 5 THEN 'NA'
+         CASE l_quantity WHEN 43 THEN NULL WHEN 4 THEN '   ' WHEN 5 THEN 'NA' WHEN 42 THEN chr(9)
               ELSE {source} END AS {party},
-         CASE l_quantity WHEN 1 THEN 'n/a' WHEN 2 THEN '₵' || price WHEN 3 THEN ''
+         CASE l_quantity WHEN 43 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN '₵' || price WHEN 3 THEN ''
               WHEN 6 THEN '1,234' WHEN 7 THEN ' ' || price || ' ' WHEN 8 THEN '1d'
               WHEN 9 THEN '-' || price ELSE CAST(price AS VARCHAR) END AS {amount},
-         CASE WHEN l_returnflag = 'R' THEN NULL ELSE {category} END AS category
+         CASE WHEN l_returnflag = 'R' OR l_quantity = 43 THEN NULL ELSE {category} END AS category
   FROM lines JOIN {table} ON {key})"""
 
 
@@ -49,14 +51,23 @@ RAW_EXPENSES = _raw(
     "l_shipdate", "vendor", "s_name", "amount", "l_linestatus", "supplier", "l_suppkey = s_suppkey"
 )
 
-# Calendar day of a raw date text, in the two spellings that occur.
-RAW_DAY = """CAST(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%m/%d/%Y')) AS DATE)"""
+# Calendar day of a raw date text, in the spellings that occur.
+SPELLINGS = (
+    "%Y-%m-%d", "%m/%d/%Y", "%d-%b-%y", "%Y-%m-%dT%H:%M:%SZ", "%m/%d/%Y %H:%M", "%B %d, %Y", "%Y.%m.%d",
+)
+RAW_DAY = f"""CAST(coalesce({', '.join(f"try_strptime(date, '{s}')" for s in SPELLINGS)}) AS DATE)"""
+# Spellings of "no value".
+NA = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+BLANK = "' ' || chr(9)"
 NUMBER = r"'^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*$'"
 
 
 def _flagged(raw: str, party: str, amount: str) -> str:
     """Raw rows after NA tokens, with typed columns and the reason for setting a row aside."""
-    na = ", ".join(f"'{t}'" for t in CSV_NA_TOKENS)
+    na = ", ".join(f"'{t}'" for t in NA)
     known = ",\n         ".join(
         f"CASE WHEN {c} IN ({na}) THEN NULL ELSE {c} END AS {c}"
         for c in ("date", party, amount, "category")
@@ -71,7 +82,7 @@ flagged AS (
   SELECT *, CASE WHEN coalesce(date, {party}, {amount}, category) IS NULL THEN 'empty_row'
                  WHEN {amount} IS NULL THEN 'missing_amount'
                  WHEN num IS NULL THEN 'bad_amount'
-                 WHEN coalesce(trim({party}), '') = '' THEN 'missing_party' END AS reject_reason
+                 WHEN coalesce(trim({party}, {BLANK}), '') = '' THEN 'missing_party' END AS reject_reason
   FROM typed)"""
 
 
@@ -102,7 +113,7 @@ SELECT user_id, {'CAST(iso_year AS INTEGER) AS iso_year,' if year else ''}
        CAST(week AS INTEGER) AS week, CAST(dow AS INTEGER) AS dow,
        CAST(coalesce(sum(v), 0) AS DOUBLE) AS total
 FROM grid LEFT JOIN days USING (user_id, {'iso_year,' if year else ''} week, dow) GROUP BY ALL"""
-    window = f"""{ledger}, chosen AS (SELECT * FROM ledger WHERE {between}),
+    windows = lambda chosen, scope: f"""{ledger}, chosen AS (SELECT * FROM ledger WHERE {chosen}),
 bounds AS (
   SELECT user_id, min(date) AS first_date, max(date) AS last_date,
          greatest(max(date) - min(date), 1) AS span
@@ -112,13 +123,34 @@ windows AS (
          CAST(first_date - 1 AS DATE) AS prior_end FROM bounds),
 prior AS (
   SELECT l.* FROM ledger l JOIN windows w
-    ON l.user_id = w.user_id AND l.date BETWEEN w.prior_start AND w.prior_end)"""
+    ON l.user_id = w.user_id AND l.date BETWEEN w.prior_start AND w.prior_end AND {scope})"""
+    window = windows(between, "TRUE")
+    categories = "('', 'PROMO', 'ECONOMY', 'F')"
+    parties = f"(SELECT DISTINCT {party} FROM ledger WHERE {party} LIKE '%e%')"
     figures = lambda rows: f"""SELECT user_id, sum({amount}) AS total, count(*) AS records,
          count(DISTINCT {party}) AS parties FROM {rows} GROUP BY user_id"""
     number = "CAST({} AS DOUBLE)".format
     metric = lambda name, now, old: f"""SELECT user_id, '{name}' AS metric,
     {now} AS value, CASE WHEN p.records > 0 THEN {old} END AS previous
   FROM now LEFT JOIN old p USING (user_id)"""
+    trends = lambda chosen, scope: f"""WITH {windows(chosen, scope)}, now AS ({figures('chosen')}), old AS ({figures('prior')}),
+long AS (
+  {metric('total', number('now.total'), number('p.total'))}
+  UNION ALL {metric('average', 'CAST(now.total AS DOUBLE) / now.records',
+                    'CAST(p.total AS DOUBLE) / p.records')}
+  UNION ALL {metric('parties', number('now.parties'), number('p.parties'))}
+  UNION ALL {metric('records', number('now.records'), number('p.records'))}),
+changes AS (
+  SELECT *, CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END AS p FROM long)
+SELECT user_id, metric, round_even(value, 6) AS value, round_even(previous, 6) AS previous,
+       round_even(p, 6) AS pct,
+       CASE WHEN p IS NULL THEN 'none' WHEN p > 0 THEN 'up' WHEN p < 0 THEN 'down'
+            ELSE 'flat' END AS direction,
+       CASE WHEN p IS NULL THEN '— No prior period'
+            WHEN p > 0 THEN '▲ ' || format('{{:.1f}}', p) || '% vs prev period'
+            WHEN p < 0 THEN '▼ ' || format('{{:.1f}}', -p) || '% vs prev period'
+            ELSE '→ No change vs prev period' END AS label
+FROM changes"""
     listing = f"""strftime(date, '%Y-%m-%d') AS date, {party},
        CAST(round_even({amount}, 2) AS DOUBLE) AS {amount}, category"""
     rule = {
@@ -198,24 +230,7 @@ SELECT user_id, id, date, {party}, CAST({amount} AS DOUBLE) AS {amount}, categor
         "prior_kpis": f"""WITH {window}, k AS ({figures('prior')})
 SELECT user_id, CAST(total AS DOUBLE) AS total,
        round_even(CAST(total AS DOUBLE) / records, 6) AS average, parties, records FROM k""",
-        "kpis_with_trend": f"""WITH {window}, now AS ({figures('chosen')}), old AS ({figures('prior')}),
-long AS (
-  {metric('total', number('now.total'), number('p.total'))}
-  UNION ALL {metric('average', 'CAST(now.total AS DOUBLE) / now.records',
-                    'CAST(p.total AS DOUBLE) / p.records')}
-  UNION ALL {metric('parties', number('now.parties'), number('p.parties'))}
-  UNION ALL {metric('records', number('now.records'), number('p.records'))}),
-changes AS (
-  SELECT *, CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END AS p FROM long)
-SELECT user_id, metric, round_even(value, 6) AS value, round_even(previous, 6) AS previous,
-       round_even(p, 6) AS pct,
-       CASE WHEN p IS NULL THEN 'none' WHEN p > 0 THEN 'up' WHEN p < 0 THEN 'down'
-            ELSE 'flat' END AS direction,
-       CASE WHEN p IS NULL THEN '— No prior period'
-            WHEN p > 0 THEN '▲ ' || format('{{:.1f}}', p) || '% vs prev period'
-            WHEN p < 0 THEN '▼ ' || format('{{:.1f}}', -p) || '% vs prev period'
-            ELSE '→ No change vs prev period' END AS label
-FROM changes""",
+        "kpis_with_trend": trends(between, "TRUE"),
         f"{kind}_progress": f"""WITH {ledger}, sums AS (
   SELECT user_id, CAST(sum({amount}) AS DOUBLE) AS actual FROM ledger GROUP BY user_id),
 goals AS (
@@ -234,6 +249,29 @@ SELECT user_id, actual, goal, CAST(pct AS DOUBLE) AS pct, CASE {rule} END AS sta
 FROM done""",
         "ledger_listing": f"WITH {ledger} SELECT user_id, id, {listing} FROM ledger",
         "list_page": page("TRUE", "date DESC NULLS LAST", 2),
+        "list_page_deep": page("TRUE", "date DESC NULLS LAST", 101),
+        "list_page_global": f"""WITH {ledger}, ranked AS (
+  SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, id) AS position FROM ledger)
+SELECT CAST(position AS INTEGER) AS position, id, {listing}
+FROM ranked WHERE position BETWEEN 2001 AND 2010""",
+        "filter_ledger_all": f"""WITH {ledger}
+SELECT user_id, id, date, {party}, CAST({amount} AS DOUBLE) AS {amount}, category
+FROM ledger WHERE {between} AND category IN {categories} AND {party} IN {parties}""",
+        "filter_ledger_tables": f"""WITH {ledger}
+SELECT user_id, id, date, {party}, CAST({amount} AS DOUBLE) AS {amount}, category
+FROM ledger WHERE date >= DATE '{START}' AND category IN {categories} AND {party} IN {parties}""",
+        "scan_ledger_tenants": f"""WITH {ledger}
+SELECT user_id, id, date, {party}, CAST({amount} AS DOUBLE) AS {amount}, category
+FROM ledger WHERE user_id IN ('t1', 't7') AND {between}""",
+        "kpis_with_trend_chosen": trends(f"{between} AND category IN {categories}", "TRUE"),
+        "kpis_with_trend_filtered": trends(f"{between} AND category IN {categories}", f"category IN {categories}"),
+        f"global_{kind}": f"""WITH {ledger}, done AS (
+  SELECT *, CASE WHEN goal > 0 THEN least(actual / goal * 100, 100) ELSE 0.0 END AS pct
+  FROM (SELECT CAST(sum({amount}) AS DOUBLE) AS actual FROM ledger),
+       (SELECT CAST({step} * sum(n_nationkey % 4) AS DOUBLE) AS goal FROM nation))
+SELECT actual, goal, CAST(pct AS DOUBLE) AS pct, CASE {rule} END AS status,
+       '₵' || format('{{:,.0f}}', actual) || ' of ₵' || format('{{:,.0f}}', goal) || ' (' ||
+       format('{{:.1f}}', CAST(pct AS DOUBLE)) || '%)' AS text FROM done""",
         "list_page_by_amount": page("category <> ''", f"{amount} DESC", 3),
         "ledger_cube": f"""WITH {ledger}, cube AS (
   SELECT user_id, 'day' AS grain, date, NULL AS {party}, NULL AS category,
@@ -254,6 +292,12 @@ SELECT user_id, id, date, {party}, CAST({amount} AS DOUBLE) AS {amount}, categor
 def upload_sql(raw: str, party: str, amount: str) -> dict[str, str]:
     flagged = _flagged(raw, party, amount)
     return {
+        "clean_ledger_raw": f"""WITH {raw}, typed AS (
+  SELECT user_id, id, {RAW_DAY} AS day, {party}, coalesce(category, '') AS category,
+         CASE WHEN regexp_matches({amount}, {NUMBER}) THEN TRY_CAST({amount} AS DOUBLE) END AS {amount}
+  FROM raw)
+SELECT user_id, id, day AS date, {party}, {amount}, category FROM typed
+WHERE {amount} IS NOT NULL AND trim({party}, {BLANK}) <> ''""",
         "ingest_upload": f"""WITH {flagged}
 SELECT user_id, day AS date, {party}, num AS {amount}, coalesce(category, '') AS category
 FROM flagged WHERE reject_reason IS NULL""",
@@ -335,12 +379,12 @@ def _json_document() -> str:
     || chr(10) || '    "date_range" : "' || date_range || '",' || chr(10)
     || '    "monthly" : {{' || chr(10) || m.entries || chr(10) || '    }},' || chr(10)
     || '    "{top}" : {{' || chr(10) || p.entries || chr(10) || '    }},' || chr(10)
-    || '    "by_category" : {{' || chr(10) || c.entries || chr(10) || '    }}' || chr(10)
+    || '    "by_category" : {{' || coalesce(chr(10) || c.entries || chr(10) || '    }}', ' }}') || chr(10)
     || '  }}' AS text
   FROM {name}_totals t
   JOIN {name}_maps m ON m.user_id = t.user_id AND m.item = 'monthly'
   JOIN {name}_maps p ON p.user_id = t.user_id AND p.item = 'top'
-  JOIN {name}_maps c ON c.user_id = t.user_id AND c.item = 'by_category')""")
+  LEFT JOIN {name}_maps c ON c.user_id = t.user_id AND c.item = 'by_category')""")
         pieces.append(f"{name}_json.text")
     return f"""{_summary()}, {', '.join(ctes)}, documents AS (
   SELECT user_id, '{{' || chr(10) || {(" || ',' || chr(10) || ").join(pieces)} || ',' || chr(10)
@@ -358,7 +402,7 @@ SALES_LINES = f"""{LINES}, sold AS (
   SELECT user_id, id, CAST(l_quantity AS INTEGER) AS q,
          CASE WHEN l_quantity = 50 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
          p_name AS product, price AS sales,
-         CASE WHEN l_returnflag = 'R' THEN '' ELSE p_type END AS category
+         CASE WHEN l_returnflag = 'R' OR c_nationkey = 7 THEN '' ELSE p_type END AS category
   FROM lines JOIN part ON l_partkey = p_partkey)"""
 OLD = "user_id, id, date, product, CAST(sales AS DOUBLE) AS sales, category"
 
@@ -386,25 +430,36 @@ UNION ALL SELECT {_new('1', '-new')} FROM sold WHERE q IN (15, 16)
 UNION ALL SELECT {_new('2', '-new')} FROM sold WHERE q = 17""",
 }
 
+# One field per update; quantities up to 3 get several.
+CHANGE_SQL["apply_changes_partial"] = f"""WITH {SALES_LINES}
+SELECT user_id, id, CASE WHEN q IN (3, 5) THEN DATE '1999-09-09' ELSE date END AS date,
+       CASE WHEN q IN (1, 2) THEN product || ' b' WHEN q = 6 THEN product || ' a' ELSE product END AS product,
+       CAST(CASE WHEN q <= 4 THEN sales + 1 ELSE sales END AS DOUBLE) AS sales,
+       CASE WHEN q = 3 THEN 'again' ELSE category END AS category
+FROM sold WHERE q <> 8
+UNION ALL SELECT user_id, id || '-new', NULL, product, CAST(sales AS DOUBLE), '' FROM sold WHERE q = 7"""
+CHANGE_SQL["store_changes"] = CHANGE_SQL["apply_changes_partial"]
+
 # An entry's amount; a number followed by "d" is a number in the engine that made the entries.
 ENTRIES = f"""{RAW_SALES}, entries AS (
-  SELECT user_id, id, date AS raw_date, {RAW_DAY} AS date, trim(product) AS product,
+  SELECT user_id, id, date AS raw_date, {RAW_DAY} AS date, trim(product, {BLANK}) AS product,
          CASE WHEN sales = '1d' THEN 1.0 ELSE TRY_CAST(sales AS DOUBLE) END AS sales, category
   FROM raw)"""
 ENTRY_COLUMNS = "date, product, sales, coalesce(category, '') AS category"
 
 CHECK_SQL = {
     "validate_entries": f"""WITH {ENTRIES} SELECT user_id, id, {ENTRY_COLUMNS},
-       CASE WHEN product = '' OR sales IS NULL THEN 'missing_field'
+       CASE WHEN raw_date IS NULL OR coalesce(product, '') = '' OR sales IS NULL THEN 'missing_field'
             WHEN sales < 0 THEN 'negative_amount' WHEN date IS NULL THEN 'bad_date'
        END AS reject_reason FROM entries""",
     "validate_edits": f"""WITH {ENTRIES}
 SELECT user_id, CASE WHEN category IS NULL THEN NULL ELSE id END AS id, {ENTRY_COLUMNS},
        CASE WHEN category IS NULL THEN 'no_record'
-            WHEN product = '' OR sales IS NULL THEN 'missing_field'
+            WHEN raw_date IS NULL OR coalesce(product, '') = '' OR sales IS NULL THEN 'missing_field'
             WHEN date IS NULL THEN 'bad_date' END AS reject_reason FROM entries""",
     "csv_scan": f"""WITH {RAW_SALES}
-SELECT user_id, date, product, sales, coalesce(category, '') AS category FROM raw""",
+SELECT user_id, coalesce(date, '') AS date, coalesce(product, '') AS product,
+       coalesce(sales, '') AS sales, coalesce(category, '') AS category FROM raw""",
     "decode_uploads": f"""WITH {_flagged(RAW_SALES, 'product', 'sales')}
 SELECT user_id, id || CASE WHEN category IS NULL THEN '.txt'
          WHEN CAST(split_part(id, '-', 1) AS BIGINT) % 4 = 3 THEN '.CSV' ELSE '.csv' END AS file,
@@ -432,8 +487,21 @@ def all_sql() -> dict[str, str]:
     out |= upload_sql(RAW_SALES, "product", "sales")
     twins = ledger_sql(EXPENSE_LEDGER, "vendor", "amount", "budget", "5e6")
     twins |= upload_sql(RAW_EXPENSES, "vendor", "amount")
-    out |= {n if n == "budget_progress" else f"expense_{n}": q for n, q in twins.items()}
+    out |= {n if n in ("budget_progress", "global_budget") else f"expense_{n}": q for n, q in twins.items()}
     out |= CHANGE_SQL | CHECK_SQL | {"csv_ingest": out["ingest_upload"]}
+    flagged = _flagged(RAW_SALES, "product", "sales")
+    out["csv_mixed_layouts"] = f"""WITH {flagged}
+SELECT CASE WHEN l_odd THEN 'a' ELSE 'b' END || '.csv' AS file, user_id, day AS date, product, num AS sales,
+       coalesce(category, '') AS category
+FROM (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 2 = 1 AS l_odd FROM flagged)
+WHERE reject_reason IS NULL"""
+    out["csv_quarantine"] = f"""WITH {flagged}, q AS (
+  SELECT user_id, reject_reason FROM flagged WHERE reject_reason IS NOT NULL
+  UNION ALL SELECT user_id, reason FROM (SELECT DISTINCT user_id FROM raw),
+    (VALUES ('no_rows'), ('unsupported_file'), ('repeated_header'), ('unclosed_quote'), ('too_many_fields'))
+    extra(reason)
+  UNION ALL SELECT NULL, 'missing_tenant')
+SELECT user_id, reject_reason, count(*) AS n FROM q GROUP BY ALL"""
     money = "CAST({} AS DOUBLE) AS {}".format
     out |= {
         "profit": f"""WITH {_summary()}

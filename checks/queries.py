@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Selections used by the filtered queries: a two-year span and, in one case, a category.
 START, END = "1997-01-01", "1998-12-31"
+CATEGORIES = ["", "PROMO", "ECONOMY", "F"]
 
 LEDGERS = {"sales": (SALES, wh.sales_ledger), "expenses": (EXPENSES, wh.expense_ledger)}
 
@@ -53,16 +54,43 @@ def ledger_queries(spec: LedgerSpec, read: Callable[[SparkSession, str], DataFra
     def prior(spark: SparkSession, folder: str) -> DataFrame:
         ledger = _clean(read, spec, spark, folder)
         bounds = ops.period_bounds(ops.filter_ledger(ledger, spec, START, END))
-        return _plain(_rounded(ops.prior_kpis(ledger, bounds, spec), average=6))
+        return _plain(_rounded(ops.prior_kpis(ledger, bounds, spec, start=START, end=END), average=6))
 
     def prior_lines(spark: SparkSession, folder: str) -> DataFrame:
         ledger = _clean(read, spec, spark, folder)
         bounds = ops.period_bounds(ops.filter_ledger(ledger, spec, START, END))
         return _plain(ops.prior_rows(ledger, bounds, spec))
 
-    def trend(ledger: DataFrame) -> DataFrame:
-        out = ops.kpis_with_trend(ledger, spec, START, END)
-        return _rounded(out, value=6, previous=6, pct=6)
+    def trend(**options) -> Query:
+        return on_ledger(
+            lambda l: _rounded(ops.kpis_with_trend(l, spec, START, END, **options), value=6, previous=6, pct=6)
+        )
+
+    def named(ledger: DataFrame) -> DataFrame:
+        """Parties with an e in their name."""
+        return ledger.select(spec.party).filter(F.contains(spec.party, F.lit("e"))).distinct()
+
+    def filtered(spark: SparkSession, folder: str) -> DataFrame:
+        """All four selections: dates, a list of categories, a table of parties."""
+        ledger = _clean(read, spec, spark, folder)
+        return _plain(ops.filter_ledger(ledger, spec, START, END, named(ledger), CATEGORIES))
+
+    def filtered_by_tables(spark: SparkSession, folder: str) -> DataFrame:
+        ledger = _clean(read, spec, spark, folder)
+        categories = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
+        return _plain(ops.filter_ledger(ledger, spec, START, None, named(ledger), categories))
+
+    def scan_some(spark: SparkSession, folder: str) -> DataFrame:
+        """The stored ledger of two tenants and two years, both pushed to the files."""
+        path = src.shared_folder(spark)
+        ledger = read(spark, folder)
+        src.write_ledger(ledger, path)
+        kind = ledger.schema[spec.amount].dataType
+        return _plain(src.scan_ledger(spark, path, spec, ["t1", "t7"], START, END, amount=kind))
+
+    def global_goal(spark: SparkSession, folder: str) -> DataFrame:
+        goals = wh.goals(spark, folder, spec.goal_kind)
+        return _plain(ops.goal_progress(_clean(read, spec, spark, folder), spec, goals, by=[]))
 
     return {
         "clean_ledger": on_ledger(lambda l: l),
@@ -89,10 +117,18 @@ def ledger_queries(spec: LedgerSpec, read: Callable[[SparkSession, str], DataFra
         ),
         "prior_rows": prior_lines,
         "prior_kpis": prior,
-        "kpis_with_trend": on_ledger(trend),
+        "kpis_with_trend": trend(),
+        "kpis_with_trend_chosen": trend(categories=CATEGORIES),
+        "kpis_with_trend_filtered": trend(categories=CATEGORIES, prior_scope="filtered"),
+        "filter_ledger_all": filtered,
+        "filter_ledger_tables": filtered_by_tables,
+        "scan_ledger_tenants": scan_some,
+        f"global_{spec.goal_kind}": global_goal,
         f"{spec.goal_kind}_progress": goal,
         "ledger_listing": on_ledger(lambda l: ops.ledger_listing(l, spec)),
         "list_page": on_ledger(lambda l: ops.list_page(l, spec, page=2)),
+        "list_page_deep": on_ledger(lambda l: ops.list_page(l, spec, page=101)),
+        "list_page_global": on_ledger(lambda l: ops.list_page(l, spec, page=201, by=[])),
         "list_page_by_amount": on_ledger(
             lambda l: ops.list_page(
                 l, spec, page=3, where=F.col("category") != "", order=[F.col(spec.amount).desc()]
@@ -155,8 +191,61 @@ def csv_ingest(spark: SparkSession, folder: str) -> DataFrame:
     path = src.shared_folder(spark)
     raw = wh.raw_sales(spark, folder).toDF(" USER_ID", "Note", "Date ", "PRODUCT", " Sales ", "Category")
     raw.write.csv(path, **CSV)
-    table = ops.normalize_columns(src.read_csv_ledger(spark, path))
-    return ops.ingest_upload(ops.conform(table, SALES.upload_columns), SALES)[0]
+    return ops.ingest_upload(src.read_csv_ledger(spark, path), SALES)[0]
+
+
+def _csv_lines(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as CSV lines, every value in quotes."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return raw.select("user_id", F.concat_ws(",", *[quoted(c) for c in columns]).alias("line"))
+
+
+def _csv_folder(spark: SparkSession, folder: str) -> str:
+    """Raw sales as CSV files in two layouts, with lines and files that must be refused."""
+    path = src.shared_folder(spark)
+    raw = wh.raw_sales(spark, folder)
+    odd = F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint") % 2 == 1
+    tenants = raw.select("user_id").distinct()
+
+    plain = {**CSV, "header": False, "sep": "\u0001", "quote": "", "escapeQuotes": False}
+
+    def write(lines: DataFrame, name: str, *first: str) -> None:
+        """One file per tenant: the first lines, then the rows."""
+        top = F.posexplode(F.array(*[F.lit(x) for x in first])).alias("k", "line")
+        whole = tenants.select("user_id", top).unionByName(lines.withColumn("k", F.lit(len(first))))
+        whole = whole.repartition("user_id").sortWithinPartitions("user_id", "k").drop("k")
+        whole.write.partitionBy("user_id").csv(f"{path}/{name}", **plain)
+
+    a, b = "date,product,sales,category", ' SALES ,Note,"Category",Product,DATE'
+    wide, broken = '"2024-01-01","x","1","y","z"', '"2024-01-01","cut'
+    write(_csv_lines(raw.filter(odd), a.split(",")), "a.csv", a, a, wide, broken)
+    second = raw.filter(~odd).withColumn("note", F.lit("n"))
+    write(_csv_lines(second, ["sales", "note", "category", "product", "date"]), "b.csv", b)
+    nothing = tenants.withColumn("line", F.lit(a)).limit(0)
+    write(nothing, "c.csv", a)
+    tenants.withColumn("line", F.lit(a)).repartition("user_id").write.partitionBy("user_id").text(f"{path}/d.xls")
+    stray = spark.createDataFrame([(a,), ("2024-01-01,x,1,",)], "line string")
+    stray.coalesce(1).write.csv(f"{path}/e.csv", **plain)
+    return path
+
+
+def _csv_folder_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return src.read_csv_uploads(spark, _csv_folder(spark, folder), SALES)
+
+
+def csv_mixed_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted rows of files in two layouts, with the file they come from."""
+    flagged = ops.flag_upload(_csv_folder_rows(spark, folder), SALES).filter(F.col("reject_reason").isNull())
+    return flagged.select(
+        F.regexp_extract("file", r"/(\w\.\w+)/user_id", 1).alias("file"), "user_id", F.col("_date").alias("date"),
+        "product", F.col("_amount").alias("sales"), F.coalesce("category", F.lit("")).alias("category"),
+    )
+
+
+def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows set aside of the same files, counted by tenant and reason."""
+    _, quarantine = ops.ingest_upload(_csv_folder_rows(spark, folder), SALES)
+    return quarantine.groupBy("user_id", "reject_reason").agg(F.count("*").alias("n"))
 
 
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,6 +317,50 @@ def apply_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(ops.apply_changes(ledger, changes, SALES))
 
 
+def _partial_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Updates that give one field each, several for some records, and two kinds of other changes."""
+    line = wh.sales_ledger(spark, folder).withColumn("q", F.split_part("id", F.lit("-"), F.lit(5)).cast("int"))
+    none = F.lit(None)
+
+    def change(where: str, op: str, seq: int, date=none, product=none, sales=none, category=none, suffix=""):
+        return line.filter(where).select(
+            "user_id", F.concat("id", F.lit(suffix)).alias("id"), F.lit(op).alias("op"),
+            F.lit(seq).cast("bigint").alias("seq"), date.cast("date").alias("date"),
+            product.cast("string").alias("product"), sales.cast("decimal(18,2)").alias("sales"),
+            category.cast("string").alias("category"),
+        )
+
+    name, late = F.col("product"), F.lit("1999-09-09")
+    steps = [
+        change("q <= 4", "update", 1, sales=F.col("sales") + 1),
+        change("q in (1, 2, 6)", "update", 2, product=F.concat(name, F.lit(" a"))),
+        change("q in (1, 2)", "update", 3, product=F.concat(name, F.lit(" b"))),
+        change("q in (3, 5)", "update", 4, date=late),
+        change("q = 3", "update", 5, category=F.lit("again")),
+        change("q = 7", "insert", 1, product=name, sales=F.col("sales"), suffix="-new"),
+        change("q = 8", "delete", 1),
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
+
+
+def apply_changes_partial(spark: SparkSession, folder: str) -> DataFrame:
+    return _plain(ops.apply_changes(wh.sales_ledger(spark, folder), _partial_changes(spark, folder), SALES))
+
+
+def store_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same changes applied to a stored ledger, twice, which must not matter; then scanned."""
+    path = src.shared_folder(spark)
+    ledger = wh.sales_ledger(spark, folder)
+    src.write_ledger(ledger, path)
+    kind = ledger.schema["sales"].dataType
+    for _ in range(2):
+        src.store_changes(spark, path, _partial_changes(spark, folder), SALES, kind)
+    return _plain(src.scan_ledger(spark, path, SALES, amount=kind))
+
+
 def business_summary(spark: SparkSession, folder: str) -> DataFrame:
     return plans.flatten_summary(_summary(spark, folder), SALES, EXPENSES)
 
@@ -274,7 +407,7 @@ def parse_replies(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = dict(ledger_queries(SALES, wh.sales_ledger))
     out |= {
-        f"expense_{n}" if n != "budget_progress" else n: q
+        f"expense_{n}" if n not in ("budget_progress", "global_budget") else n: q
         for n, q in ledger_queries(EXPENSES, wh.expense_ledger).items()
     }
     out |= {
@@ -282,12 +415,15 @@ def all_queries() -> dict[str, Query]:
         "expense_scan_ledger": partial(scan_ledger, spec=EXPENSES, read=wh.expense_ledger),
         "ingest_upload": _flagged(wh.raw_sales, SALES, True),
         "ingest_quarantine": _flagged(wh.raw_sales, SALES, False),
+        "clean_ledger_raw": lambda spark, folder: ops.clean_ledger(wh.raw_sales(spark, folder), SALES),
+        "expense_clean_ledger_raw": lambda spark, folder: ops.clean_ledger(wh.raw_expenses(spark, folder), EXPENSES),
         "expense_ingest_upload": _flagged(wh.raw_expenses, EXPENSES, True),
         "expense_ingest_quarantine": _flagged(wh.raw_expenses, EXPENSES, False),
     }
     for query in (
         profit, global_kpis, ledger_listing_headings, csv_ingest, csv_scan, decode_uploads, validate_entries,
         validate_edits, append_rows, clear_tenant, apply_updates, apply_deletes, apply_changes,
+        apply_changes_partial, store_changes, csv_mixed_layouts, csv_quarantine,
         business_summary, summary_json, insight_prompts, parse_replies,
     ):
         out[query.__name__] = query

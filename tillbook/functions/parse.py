@@ -32,17 +32,37 @@ CSV_NA_TOKENS = (
     "null",
 )
 
-# Tried in this order. A day/month pair with slashes is read month first.
+# Tried in this order, so that an ambiguous day/month pair is read month first and only a pair that
+# has no such month is read day first. A time of day after the date is left out before.
 DATE_FORMATS = (
     "yyyy-M-d",
     "M/d/yyyy",
     "yyyy/M/d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
     "yyyyMMdd",
+    "d-MMM-yyyy",
+    "d-MMM-yy",
+    "M/d/yy",
     "d MMM yyyy",
     "MMM d, yyyy",
+    "MMM d yyyy",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
+    "MMMM d yyyy",
+    "M-d-yyyy",
+    "yyyy.M.d",
+    "d/M/yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "yyyy-M",
 )
+# Hours and minutes, with optional seconds, fraction, half of the day and zone. The day is the one
+# written: an offset does not move it.
+_TIME = (
+    r"(?:[Tt]| +)(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9](?::[0-5]?[0-9](?:\.[0-9]+)?)?"
+    r"(?: ?[AaPp][Mm])?(?: ?(?:[Zz]|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"
+)
+# Two-digit years from here on belong to the century before.
+_PIVOT = 2069
 
 # Every character a Python string counts as white space.
 WHITE_SPACE = (
@@ -98,7 +118,10 @@ def _shape(date_format: str) -> str:
     """Pattern of the texts a date format can match. Checking it first spares the parser, whose
     refusal of a text is a costly exception.
     """
-    shapes = {"yyyy": "[0-9]{4}", "MMM": r"\p{L}+", "MM": "[0-9]{2}", "dd": "[0-9]{2}"}
+    shapes = {
+        "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}{3}", "MM": "[0-9]{2}",
+        "dd": "[0-9]{2}",
+    }
     tokens = re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", date_format)
     out = []
     for token in tokens:
@@ -116,9 +139,13 @@ def to_day(c: Column, kind: T.DataType, formats: Sequence[str] = DATE_FORMATS) -
         return c
     if not isinstance(kind, T.StringType):
         return c.cast("date")
-    text = strip_ws(c)
+    whole = strip_ws(c)
+    dated = F.when(F.contains(whole, F.lit(":")), F.regexp_replace(whole, _TIME, "")).otherwise(whole)
     day = F.lit(None)
     for date_format in reversed(formats):
+        text = whole if "H" in date_format or "h" in date_format else dated
         read = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+        if re.search(r"(?<!y)yy(?!y)", date_format):
+            read = F.when(F.year(read) < _PIVOT, read).otherwise(F.add_months(read, -1200))
         day = F.coalesce(F.when(text.rlike(_shape(date_format)), read), day)
     return day.cast("date")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.operators.ranking import keep_by_key
@@ -43,57 +43,52 @@ def apply_deletes(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     return ledger.join(keys.select(*KEY), list(KEY), "left_anti")
 
 
+def _last_given(fields: Iterable[str], seq: Column | None) -> list[Column]:
+    """Per field, the value of the last change that gives one (null: none does)."""
+    if seq is None:
+        return [F.any_value(c, F.lit(True)).alias(c) for c in fields]
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c) for c in fields]
+
+
+def _overlaid(ledger: DataFrame, fields: Iterable[str]) -> list[Column]:
+    """The ledger's columns with the fields of ``_new`` laid over them."""
+    types = {f.name: f.dataType for f in ledger.schema.fields}
+    laid = {c: F.coalesce(F.col(f"_new.{c}").cast(types[c]), F.col(c)).alias(c) for c in fields}
+    return [laid.get(c, F.col(c)) for c in ledger.columns]
+
+
 def apply_updates(ledger: DataFrame, updates: DataFrame, spec: LedgerSpec) -> DataFrame:
     """Ledger with records replaced field by field; a null field keeps its old value.
 
-    Several updates of one record need a ``seq`` column: the highest wins. Unknown records are
-    ignored.
+    Several updates of one record need a ``seq`` column: per field, the last one that gives it wins.
+    Unknown records are ignored.
     """
     fields = [c for c in spec.columns if c != "id" and c in updates.columns]
-    values = F.struct(*[F.col(c).alias(c) for c in fields])
-    pick = F.max_by(values, F.col("seq")) if "seq" in updates.columns else F.any_value(values)
-    latest = updates.groupBy(*KEY).agg(pick.alias("_new"))
-    types = {f.name: f.dataType for f in ledger.schema.fields}
-    return ledger.join(latest, list(KEY), "left").select(
-        *[
-            F.coalesce(F.col(f"_new.{c}").cast(types[c]), F.col(c)).alias(c) if c in fields else c
-            for c in ledger.columns
-        ]
-    )
+    seq = F.col("seq") if "seq" in updates.columns else None
+    latest = updates.groupBy(*KEY).agg(*_last_given(fields, seq)).select(*KEY, F.struct(*fields).alias("_new"))
+    return ledger.join(latest, list(KEY), "left").select(*_overlaid(ledger, fields))
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame, spec: LedgerSpec) -> DataFrame:
     """Ledger after an ordered change set with ``op`` (insert, update, delete) and ``seq``.
 
-    Per record the last insert or delete decides whether it exists, and the last insert or update
-    gives its values; updates of a record that does not exist do nothing. Records of other tenants
-    are never touched. ``seq`` is unique per record.
+    Per record the last insert or delete decides whether it exists. Its fields come from that insert
+    or from the ledger, and each later update lays the fields it gives over them; a null field keeps
+    the old value. Updates of a record that does not exist do nothing, an inserted null category
+    becomes blank, and records of other tenants are never touched. ``seq`` is unique per record.
     """
     fields = [c for c in spec.columns if c != "id"]
     op, seq = F.col("op"), F.col("seq")
-    final = changes.groupBy(*KEY).agg(
-        F.max(F.when(op == "insert", seq)).alias("_inserted"),
-        F.max(F.when(op == "delete", seq)).alias("_deleted"),
-        F.max_by(F.struct(*fields), F.when(op != "delete", seq)).alias("_new"),
-    )
-    born = F.col("_inserted").isNotNull() & (
-        F.col("_deleted").isNull() | (F.col("_inserted") > F.col("_deleted"))
-    )
-    touched = F.coalesce(F.col("_inserted"), F.col("_deleted")).isNotNull()
-    types = {f.name: f.dataType for f in ledger.schema.fields}
-    final = final.select(*KEY, "_new", touched.alias("_touched"), born.alias("_born"))
-    updated = F.col("_new").isNotNull()
-    kept = (
-        ledger.join(final, list(KEY), "left")
-        .filter(~F.coalesce(F.col("_touched"), F.lit(False)))
-        .select(
-            *[
-                F.when(updated, F.col(f"_new.{c}").cast(types[c])).otherwise(F.col(c)).alias(c)
-                if c in fields
-                else c
-                for c in ledger.columns
-            ]
-        )
+    resets = op.isin("insert", "delete")
+    last = F.max(F.when(resets, seq)).over(Window.partitionBy(*KEY))
+    valid = changes.withColumn("_reset", last).filter(F.col("_reset").isNull() | (seq >= F.col("_reset")))
+    final = valid.groupBy(*KEY).agg(
+        F.max("_reset").isNotNull().alias("_touched"),
+        F.bool_or(op == "insert").alias("_born"),
+        *_last_given(fields, seq),
     )
+    final = final.select(*KEY, "_touched", "_born", F.struct(*fields).alias("_new"))
+    kept = ledger.join(final, list(KEY), "left").filter(~F.coalesce("_touched", F.lit(False)))
     inserted = final.filter("_born").select(*KEY, "_new.*")
-    return kept.unionByName(_ledger_types(inserted, ledger))
+    inserted = inserted.withColumn("category", F.coalesce("category", F.lit("")))
+    return kept.select(*_overlaid(ledger, fields)).unionByName(_ledger_types(inserted, ledger))

@@ -42,7 +42,8 @@ def clean_ledger(
     amount: T.DataType | None = None,
     date_formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
-    """Load-time cleaning: typed amount and date, blank category for null, unusable rows dropped.
+    """Load-time cleaning: typed amount and date, blank category for null, unusable rows dropped
+    (no amount, blank party, no tenant).
 
     A numeric amount column keeps its type unless ``amount`` names one; text becomes DOUBLE.
     """
@@ -50,13 +51,16 @@ def clean_ledger(
     kinds = {f.name: f.dataType for f in table.schema.fields}
     numeric = isinstance(kinds[spec.amount], T.NumericType)
     into = amount or (kinds[spec.amount] if numeric else T.DoubleType())
+    usable = F.col(spec.amount).isNotNull() & has_text(F.col(spec.party))
+    if TENANT in table.columns:
+        usable = usable & F.col(TENANT).isNotNull()
     return table.withColumns(
         {
             "date": to_day(F.col("date"), kinds["date"], date_formats),
             spec.amount: to_amount(F.col(spec.amount), kinds[spec.amount], into),
             "category": F.coalesce(F.col("category").cast("string"), F.lit("")),
         }
-    ).filter(F.col(spec.amount).isNotNull() & has_text(F.col(spec.party)))
+    ).filter(usable)
 
 
 def ledger_listing(

@@ -66,11 +66,21 @@ def filter_ledger(
 
 
 def prior_rows(
-    ledger: DataFrame, bounds: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY
+    ledger: DataFrame,
+    bounds: DataFrame,
+    spec: LedgerSpec,
+    by: Sequence[str] = BY,
+    first: Day = None,
+    last: Day = None,
 ) -> DataFrame:
-    """Ledger rows inside each key's prior window (``prior_start``..``prior_end``)."""
+    """Ledger rows inside each key's prior window (``prior_start``..``prior_end``). Days outside
+    ``first``..``last``, where given, are known to lie in no window and are not read.
+    """
     window = bounds.select(*by, "prior_start", "prior_end")
     dated = ledger.filter(F.col("date").isNotNull())
+    for day, keep in ((as_day(first), "__ge__"), (as_day(last), "__le__")):
+        if day:
+            dated = dated.filter(getattr(F.col("date"), keep)(F.lit(day)))
     return (
         join_by_key(dated, window, by, [c for c in ("id", "date") if c in ledger.columns])
         .filter(F.col("date").between(F.col("prior_start"), F.col("prior_end")))

@@ -105,7 +105,7 @@ def flag_upload(
 ) -> DataFrame:
     """Upload rows as text plus typed ``_date`` and ``_amount`` and a ``reject_reason``.
 
-    Reasons: those of the parsing step, ``empty_row``, ``missing_amount``, ``bad_amount`` and
+    Reasons: those of the parsing step, ``missing_tenant``, ``empty_row``, ``missing_amount``, ``bad_amount`` and
     ``missing_party``. A date that cannot be read becomes null and does not reject the row.
     """
     df = normalize_columns(df)
@@ -121,8 +121,10 @@ def flag_upload(
         }
     )
     empty = F.coalesce(*columns).isNull()
+    orphan = F.col(TENANT).isNull() if TENANT in typed.columns else F.lit(False)
     reason = (
-        F.when(empty, "empty_row")
+        F.when(orphan, "missing_tenant")
+        .when(empty, "empty_row")
         .when(F.col(spec.amount).isNull(), "missing_amount")
         .when(F.col("_amount").isNull(), "bad_amount")
         .when(~F.coalesce(has_text(F.col(spec.party)), F.lit(False)), "missing_party")

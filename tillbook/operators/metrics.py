@@ -87,10 +87,13 @@ def _top(totals: DataFrame, spec: LedgerSpec, by: Sequence[str], n: int) -> Data
 
 
 def top_parties(
-    ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY, n: int = 10
+    ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY, n: int = 10, ordered: bool = True
 ) -> DataFrame:
-    """Largest ``n`` parties per key by total; equal totals rank by name."""
-    return _top(party_totals(ledger, spec, by), spec, by, n).orderBy(*by, "rank")
+    """Largest ``n`` parties per key by total; equal totals rank by name. Plans that go on with the
+    rows take them not ``ordered``, here and below, and save a sort of the whole result.
+    """
+    top = _top(party_totals(ledger, spec, by), spec, by, n)
+    return top.orderBy(*by, "rank") if ordered else top
 
 
 def party_share(
@@ -155,6 +158,7 @@ def monthly_totals(
     by: Sequence[str] = BY,
     last: int = 6,
     drop_null_month: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Totals of the last ``last`` months that occur. Undated rows form month ``NaT``, which sorts
     last and takes a slot, unless ``drop_null_month``.
@@ -163,10 +167,13 @@ def monthly_totals(
     month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit(NO_MONTH))
     totals = rows.groupBy(*by, month.alias("month")).agg(F.sum(spec.amount).alias("total"))
     kept = rank_slice(totals, by, [F.col("month").desc()], last)
-    return kept.select(*by, "month", "total").orderBy(*by, "month")
+    kept = kept.select(*by, "month", "total")
+    return kept.orderBy(*by, "month") if ordered else kept
 
 
-def category_totals(ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY) -> DataFrame:
+def category_totals(
+    ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY, ordered: bool = True
+) -> DataFrame:
     """Totals per category, largest first; keys whose categories are all blank give no rows."""
     totals = ledger.groupBy(*by, "category").agg(F.sum(spec.amount).alias("total"))
     # Counting totals as well keeps both uses on one shuffle of the ledger.
@@ -176,11 +183,9 @@ def category_totals(ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY)
         .filter(F.col("_named") & (F.col("_n") > 0))
         .select(*by)
     )
-    return (
-        join_by_key(totals.filter(F.col("category").isNotNull()), named, by, ["category"])
-        .select(*by, "category", "total")
-        .orderBy(*by, F.col("total").desc(), F.col("category").asc())
-    )
+    kept = join_by_key(totals.filter(F.col("category").isNotNull()), named, by, ["category"])
+    kept = kept.select(*by, "category", "total")
+    return kept.orderBy(*by, F.col("total").desc(), F.col("category").asc()) if ordered else kept
 
 
 def ledger_totals(ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY) -> DataFrame:

@@ -43,10 +43,19 @@ def _rollup(ledger: DataFrame, spec: LedgerSpec, keys: Sequence[str]) -> DataFra
 
 
 def prior_kpis(
-    ledger: DataFrame, bounds: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY
+    ledger: DataFrame,
+    bounds: DataFrame,
+    spec: LedgerSpec,
+    by: Sequence[str] = BY,
+    start: Day = None,
+    end: Day = None,
 ) -> DataFrame:
-    """KPIs of each key's prior window; keys without prior rows give none."""
-    dated = ledger.filter(F.col("date").isNotNull())
+    """KPIs of each key's prior window; keys without prior rows give none.
+
+    ``start`` and ``end`` of the selection that the bounds come from limit the scan to the days that
+    its prior windows can reach.
+    """
+    dated = ledger.filter(reach(start, end))
     rollup = _rollup(dated, spec, [*by, "date", spec.party])
     window = bounds.select(*by, "prior_start", "prior_end")
     inside = join_by_key(rollup, window, by, ["date", spec.party]).filter(
@@ -65,20 +74,21 @@ def prior_kpis(
     return sums.select(*by, "total", average.alias("average"), "parties", "records")
 
 
-def _reach(start: Day, end: Day) -> Column | None:
-    """Days that can matter for a date selection: its own and any prior window cut from it.
+def reach(start: Day, end: Day) -> Column:
+    """Days that can matter for a date selection: its own and any prior window cut from it. Without
+    ``end``, all days.
 
     A window ends before ``end``; it starts no earlier than the whole selected span and one day
     before ``start`` (two days before, for a one-day span).
     """
     first, last = as_day(start), as_day(end)
     if not last:
-        return None
-    reach = F.col("date") <= F.lit(last)
+        return F.col("date").isNotNull()
+    days = F.col("date") <= F.lit(last)
     if first:
         span = max((last - first).days, 1)
-        reach = reach & (F.col("date") >= F.lit(first - dt.timedelta(days=span + 1)))
-    return reach
+        days = days & (F.col("date") >= F.lit(first - dt.timedelta(days=span + 1)))
+    return days
 
 
 def kpis_with_trend(
@@ -100,8 +110,7 @@ def kpis_with_trend(
     current figures and the prior window come from that one shuffle.
     """
     chosen = selection(spec, start, end, parties, categories)
-    reach = _reach(start, end)
-    rows = ledger if reach is None else ledger.filter(reach)
+    rows = ledger.filter(reach(start, end)) if end else ledger
     if prior_scope == "filtered":
         rows = rows.filter(selection(spec, None, None, parties, categories))
     flagged = rows.withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
@@ -215,7 +224,7 @@ def goal_progress(
     """Total against each key's goal: percent capped at 100, status and text.
 
     ``goals`` has one row per key with ``goal``; null, zero and negative mean not set. A key found
-    only in ``goals`` counts as a total of zero.
+    only in ``goals`` counts as a total of zero. ``by=[]`` compares all rows with the sum of all goals.
     """
     kind = kind or spec.goal_kind
     rule = GOAL_STATUS[kind]
@@ -226,12 +235,15 @@ def goal_progress(
     status = F.when(F.col("goal") <= 0, rule["unset"])
     for floor, name in rule["floors"]:
         status = status.when(F.col("pct") >= floor, name)
+    none = F.lit(None).cast("double")
+    wanted = goals.select(*by, none.alias("actual"), F.col("goal").cast("double"))
     return (
-        totals.join(goals.select(*by, F.col("goal").cast("double")), list(by), "full_outer")
-        .select(
-            *by,
-            F.coalesce("actual", F.lit(0.0)).alias("actual"),
-            F.coalesce("goal", F.lit(0.0)).alias("goal"),
+        totals.withColumn("goal", none)
+        .unionByName(wanted)
+        .groupBy(*by)
+        .agg(
+            F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual"),
+            F.coalesce(F.sum("goal"), F.lit(0.0)).alias("goal"),
         )
         .withColumn("pct", pct)
         .withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.shared import write_and_read
 
-SALTS = 16
+SALTS = 1
 
 
 def join_by_key(
@@ -22,10 +22,10 @@ def join_by_key(
 ) -> DataFrame:
     """Attach ``per_key`` (one row per ``by``, never null) to ``rows``.
 
-    The join key carries a salt hashed from the ``spread`` columns, so one tenant's rows reach many
-    tasks, and a later grouping by tenant does not inherit a per-tenant layout. Nothing is hinted:
-    AQE turns the join into a broadcast when the measured size allows, else it stays a shuffled join
-    whose leftover skew AQE splits. ``by=[]`` joins on the salt alone. ``salts`` is a power of two.
+    The join key carries a salt, so that a later grouping by tenant does not inherit the join's layout
+    and AQE may split a hot tenant. More ``salts`` (a power of two) spread one tenant's rows by a hash
+    of the ``spread`` columns, at the price of as many copies of ``per_key``. Nothing is hinted: AQE
+    turns the join into a broadcast when the measured size allows. ``by=[]`` joins on the salt alone.
     """
     # A masked hash is never null. A nullable salt would draw a null filter through the aggregate
     # below ``rows`` and so keep it from sharing a shuffle with the one below ``per_key``.
@@ -40,9 +40,8 @@ def keep_by_key(
     rows: DataFrame, keys: DataFrame, by: Sequence[str], matching: bool = True
 ) -> DataFrame:
     """``rows`` whose ``by`` value is (or is not) among ``keys``; a hot value is spread as above."""
-    spread = [c for c in rows.columns if c not in by] or list(by)
     how = "left_semi" if matching else "left_anti"
-    return join_by_key(rows, keys.select(*by), by, spread, how).select(*rows.columns)
+    return join_by_key(rows, keys.select(*by), by, list(by), how).select(*rows.columns)
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -90,12 +89,21 @@ def rank_slice(
 def _deep_slice(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], last: int, first: int, rank: str
 ) -> DataFrame:
-    placed = write_and_read(number_rows(df, [*map(F.col, by), *order], "_at"))
-    starts = placed.groupBy(*by).agg(F.min("_at").alias("_start"))
-    same = F.lit(True)
-    for c in by:
-        same = same & placed[c].eqNullSafe(starts[c])
-    joined = placed.join(starts, same).select(*[placed[c] for c in placed.columns], "_start")
-    position = F.col("_at") - F.col("_start") + 1
-    kept = joined.filter(position.between(first, last))
-    return kept.withColumn(rank, position.cast("int")).select(*df.columns, rank)
+    """The rows are written once, range-partitioned by key and order. Counts per key and bucket tell
+    which buckets the slice lies in; only those are ranked.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(buckets, *map(F.col, by), *order)
+    dealt = write_and_read(dealt.withColumn("_bucket", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    before = before.filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first))
+    before = before.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), "_before")
+    same = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    position = F.col("_before") + within
+    kept = dealt.join(before, same).withColumn("_at", position).filter(F.col("_at").between(first, last))
+    return kept.withColumn(rank, F.col("_at").cast("int")).select(*df.columns, rank)

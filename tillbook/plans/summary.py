@@ -28,10 +28,10 @@ def _as_map(df: DataFrame, key: str, order: Column, name: str) -> DataFrame:
 def ledger_section(cube: DataFrame, spec: LedgerSpec) -> DataFrame:
     """``(user_id, section)``: totals, last months, top parties and categories of one ledger."""
     days, parties, categories = (cube_grain(cube, g) for g in (DAY, PARTY, CATEGORY))
-    monthly = _as_map(metrics.monthly_totals(days, spec), "month", F.col("month"), "monthly")
-    top = _as_map(metrics.top_parties(parties, spec, n=5), spec.party, F.col("rank"), spec.top_key)
+    monthly = _as_map(metrics.monthly_totals(days, spec, ordered=False), "month", F.col("month"), "monthly")
+    top = _as_map(metrics.top_parties(parties, spec, n=5, ordered=False), spec.party, F.col("rank"), spec.top_key)
     by_category = _as_map(
-        metrics.category_totals(categories, spec), "category", -F.col("total"), "by_category"
+        metrics.category_totals(categories, spec, ordered=False), "category", -F.col("total"), "by_category"
     )
     empty = F.create_map().cast(f"map<string,{_MONEY}>")
     joined = metrics.ledger_totals(days, spec)

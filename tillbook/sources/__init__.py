@@ -1,7 +1,7 @@
 """Ledger tables, uploaded files and the shared folder."""
 
 from tillbook.shared import shared_folder, write_and_read
-from tillbook.sources.tables import scan_ledger, write_json, write_ledger
+from tillbook.sources.tables import scan_ledger, store_changes, write_json, write_ledger
 from tillbook.sources.uploads import decode_uploads, read_csv_ledger, read_csv_uploads
 
 __all__ = [
@@ -10,6 +10,7 @@ __all__ = [
     "read_csv_uploads",
     "scan_ledger",
     "shared_folder",
+    "store_changes",
     "write_and_read",
     "write_json",
     "write_ledger",

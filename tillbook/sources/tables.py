@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillbook.operators.changes import apply_changes
 from tillbook.operators.filters import Day, as_day
 from tillbook.operators.ranking import keep_by_key
-from tillbook.spec import BY, TENANT, LedgerSpec, ledger_schema
+from tillbook.shared import write_and_read
+from tillbook.spec import BY, KEY, TENANT, LedgerSpec, ledger_schema
 
 MONTH = "month"
 
@@ -43,22 +45,57 @@ def scan_ledger(
     return ledger.filter(F.col(TENANT).isin(list(tenants)))
 
 
-def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:
-    """Store rows as Parquet partitioned by calendar month, which no single tenant can skew.
+def _month(day: str = "date") -> Column:
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none"))
 
-    The rebalance hint lets AQE gather a month's rows into files of the advisory size and split a
-    month too large for one, so a bulk load gives neither tiny nor huge files.
+
+def write_ledger(ledger: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Store rows as Parquet partitioned by calendar month and ordered by tenant and date within.
+
+    The rows are range-partitioned by (month, tenant, date): a tenant's rows of a month lie together,
+    so that file and row-group statistics let a tenant's scan skip the rest, and a hot tenant is
+    divided by date. ``options`` go to the Parquet writer.
     """
-    month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none"))
+    keys = [MONTH, TENANT, "date"]
     (
-        ledger.withColumn(MONTH, month)
-        .hint("rebalance", F.col(MONTH))
+        ledger.withColumn(MONTH, _month())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .write.mode(mode)
+        .options(**options)
         .partitionBy(MONTH)
         .parquet(path)
     )
 
 
+def store_changes(
+    spark: SparkSession, path: str, changes: DataFrame, spec: LedgerSpec, amount: T.DataType | None = None
+) -> None:
+    """Apply a change set (see :func:`apply_changes`) to a ledger stored by :func:`write_ledger`.
+
+    Only months that hold a changed record before or after are read and rewritten; their list, one
+    entry per calendar month, is all that comes to the driver. The new rows are written to the shared
+    folder first and then replace those months. Should the job stop in between, run it again: the same
+    changes lead to the same rows, and a record found in two months at that point is kept once.
+    """
+    schema = ledger_schema(spec, amount).add(MONTH, T.StringType())
+    stored = spark.read.schema(schema).parquet(path)
+    keys = changes.select(*KEY).distinct()
+    before = stored.select(*KEY, MONTH).join(keys, list(KEY), "left_semi").select(MONTH)
+    after = changes.filter("op <> 'delete'").select(_month().alias(MONTH))
+    months = sorted(r[0] for r in before.union(after).distinct().collect())
+    part = stored.filter(F.col(MONTH).isin(months)).drop(MONTH)
+    changed = part.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
+    others = part.join(keys, list(KEY), "left_anti")
+    result = write_and_read(others.select(*part.columns).unionByName(apply_changes(changed, changes, spec)))
+    write_ledger(result, path, "overwrite", partitionOverwriteMode="dynamic")
+    left = {r[0] for r in result.select(_month()).distinct().collect()}
+    for month in set(months) - left:  # a month without rows is in no output and would stay as it was
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={month}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store rows as JSON lines; null fields are left out."""
     df.write.mode(mode).json(path)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillbook.operators.ingest import parse_csv_lines, with_layout
+from tillbook.operators.ingest import csv_fields, parse_csv_lines, with_layout
 from tillbook.operators.ranking import join_by_key
 from tillbook.spec import TENANT, LedgerSpec
 
 CSV_GLOB = "*.[cC][sS][vV]"
 _RECORD = "\u001e"
+_CORRUPT = "_corrupt_record"
 
 
 def _repair(text: Column) -> Column:
@@ -36,47 +38,92 @@ def _decoded(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def _records(text: Column, multiline: bool) -> Column:
+    """Filled records of a file's text. With ``multiline`` line breaks inside quotes belong to a field."""
+    if not multiline:
+        return F.filter(F.split(_line_feeds(text), "\n"), _filled)
+    # Pieces at even places lie outside quotes: only their line breaks end a record.
+    pieces = F.transform(
+        F.split(text, '"'),
+        lambda piece, i: F.when(i % 2 == 0, _line_feeds(piece, _RECORD)).otherwise(piece),
+    )
+    return F.filter(F.split(F.array_join(pieces, '"'), _RECORD), _filled)
+
+
 def read_csv_ledger(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """CSV files that share one header, all columns as text. ``multiline`` allows line breaks inside
-    quotes, at the price of one task per file.
+    """CSV files that share one header, all columns as text, and ``reject_reason``: ``too_many_fields``
+    where a row is wider than the header. Files whose header differs make the read fail; read those with
+    :func:`read_csv_uploads`. ``multiline`` allows line breaks inside quotes, at the price of one task
+    per file.
     """
-    return spark.read.csv(
-        path, header=True, escape='"', multiLine=multiline, pathGlobFilter=CSV_GLOB,
-        recursiveFileLookup=True, inferSchema=False,
+    options = {
+        "header": True, "escape": '"', "multiLine": multiline, "pathGlobFilter": CSV_GLOB,
+        "recursiveFileLookup": True,
+    }
+    header = spark.read.csv(path, inferSchema=False, **options).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _CORRUPT]])
+    rows = spark.read.schema(schema).csv(
+        path, enforceSchema=False, columnNameOfCorruptRecord=_CORRUPT, **options
     )
+    wide = F.size(csv_fields(F.col(_CORRUPT))) > len(header)  # a row may also be short
+    kept = [F.col(f"`{c}`") for c in header]
+    return rows.select(*kept, F.when(wide, "too_many_fields").alias("reject_reason"))
 
 
 def read_csv_uploads(
-    spark: SparkSession, path: str, spec: LedgerSpec, tenant: str | None = None
+    spark: SparkSession, path: str, spec: LedgerSpec, tenant: str | None = None, multiline: bool = False
 ) -> DataFrame:
-    """CSV files that may differ in their columns and order, as text columns of the ledger.
+    """Files that may differ in their columns and order, as text columns of the ledger.
 
-    The tenant is ``tenant``, or comes from a ``user_id=...`` folder on the path. Every file's first
-    filled line is its header. Files stay splittable: headers are found in one pass over the lines at
-    file starts and looked up by file in a second, so no list of files passes through the driver.
-    A repeat of the header further down is skipped: it holds no amount.
+    The tenant is ``tenant``, or comes from a ``user_id=...`` folder on the path (null without one).
+    Every file's first filled line is its header. Files stay splittable: headers are found in one pass
+    over the lines and looked up by file in a second, so no list of files passes through the driver.
+    ``multiline`` allows line breaks inside quotes; a file is then one row and one task.
+
+    Every line but the headers gives a row. ``reject_reason`` tells those of the parsing step,
+    ``unclosed_quote`` (an odd number of quotes in a line) and ``repeated_header``. A file that gives
+    no lines is one row: ``unsupported_file`` if it is not named as CSV, ``no_rows`` if it holds a
+    header at most.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path, pathGlobFilter=CSV_GLOB)
-    lines = lines.select(
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select(F.col("_metadata.file_path").alias("file"))
+    source = spark.read.option("recursiveFileLookup", True).option("wholetext", multiline)
+    text = source.text(path, pathGlobFilter=CSV_GLOB).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
         _repair(F.col("value")).alias("line"),
-    ).filter(_filled(F.col("line")))
-    first = (
-        lines.filter(F.col("_start") == 0)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .groupBy("file")
-        .agg(F.min_by("line", "_at").alias("_head"))
-    )
-    first = with_layout(first, F.col("_head"), spec)
-    body = join_by_key(lines, first, ["file"], ["_start", "line"]).filter(
-        F.col("line") != F.col("_head")
     )
+    if multiline:
+        listed = text.select("file", _records(F.col("line"), True).alias("_lines"))
+        heads = listed.select("file", F.get("_lines", F.lit(0)).alias("_head"), F.size("_lines").alias("_n"))
+        lines = listed.select("file", F.posexplode("_lines").alias("_at", "line")).withColumn("_first", F.col("_at") == 0)
+        heads = heads.withColumn("_top", F.lit(0))
+    else:
+        lines = text.filter(_filled(F.col("line"))).withColumn("_at", F.monotonically_increasing_id())
+        at_top = F.when(F.col("_start") == 0, F.col("_at"))
+        heads = lines.groupBy("file").agg(
+            F.min_by("line", at_top).alias("_head"), F.min(at_top).alias("_top"), F.count("*").alias("_n")
+        )
+    heads = with_layout(heads, F.col("_head"), spec)
+    body = join_by_key(lines, heads.filter("_n > 1"), ["file"], ["line"])
+    # The places of both scans agree: they read the same files in the same parts.
+    body = body.filter(F.col("_at") != F.col("_top"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    reason = F.when(F.col("line") == F.col("_head"), "repeated_header")
+    if not multiline:
+        reason = reason.when(quotes % 2 == 1, "unclosed_quote")
+    rows = body.select("file", "layout", "line", reason.alias("reject_reason"))
+
+    is_csv = F.lower("file").endswith(".csv")
+    empty = files.join(heads.select("file", "_n", "layout"), "file", "left").filter(F.coalesce("_n", F.lit(0)) < 2)
+    refused = F.when(is_csv, "no_rows").otherwise("unsupported_file")
+    empty = empty.select("file", "layout", F.lit(None).cast("string").alias("line"), refused.alias("reject_reason"))
+
     folder = F.regexp_extract("file", rf"/{TENANT}=([^/]+)/", 1)
     # The path is encoded as a URI, and the folder name inside it may be escaped once more.
     name = _decoded(F.nullif(folder, F.lit("")))
     owner = F.lit(tenant) if tenant is not None else F.coalesce(_decoded(name), name)
-    return parse_csv_lines(body.select(owner.alias(TENANT), "file", "layout", "line"), spec)
+    return parse_csv_lines(rows.unionByName(empty).withColumn(TENANT, owner), spec)
 
 
 def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False) -> DataFrame:
@@ -88,15 +135,6 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
     """
     payload = F.try_to_binary(F.split_part("contents", F.lit(","), F.lit(2)), F.lit("base64"))
     is_csv = F.lower("filename").endswith(".csv")
-    if multiline:
-        # Pieces at even places lie outside quotes: only their line breaks end a record.
-        pieces = F.transform(
-            F.split("_text", '"'),
-            lambda piece, i: F.when(i % 2 == 0, _line_feeds(piece, _RECORD)).otherwise(piece),
-        )
-        records = F.split(F.array_join(pieces, '"'), _RECORD)
-    else:
-        records = F.split(_line_feeds(F.col("_text")), "\n")
     named = F.coalesce((F.col("contents") != "") & (F.col("filename") != ""), F.lit(False))
     decoded = (
         uploads.select(
@@ -106,7 +144,7 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
             F.coalesce(is_csv, F.lit(False)).alias("_csv"),
             F.when(is_csv, _repair(payload.cast("string"))).alias("_text"),
         )
-        .withColumn("_lines", F.filter(records, _filled))
+        .withColumn("_lines", _records(F.col("_text"), multiline))
     )
     reason = (
         F.when(~F.col("_named"), "no_file")

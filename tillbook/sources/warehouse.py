@@ -52,7 +52,9 @@ def _dated(day: str) -> Column:
 
 
 def _category(c: str) -> Column:
-    return F.when(F.col("l_returnflag") == "R", F.lit("")).otherwise(F.col(c))
+    """Blank for returned lines and for all lines of one tenant."""
+    blank = (F.col("l_returnflag") == "R") | (F.col("c_nationkey") == 7)
+    return F.when(blank, F.lit("")).otherwise(F.col(c))
 
 
 def sales_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,11 +82,18 @@ def expense_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw(lines: DataFrame, spec: LedgerSpec, day: str, party: str, category: str) -> DataFrame:
-    """Ledger lines as an untidy upload: every value is text and some are unusable."""
+    """Ledger lines as an untidy upload: every value is text, dates are spelled in many ways, some
+    values are unusable and some rows are empty.
+    """
     quantity, price = F.col("l_quantity"), F.col("_price").cast("string")
     date = (
         F.when(quantity == 50, "not a date")
         .when(quantity == 49, F.date_format(day, "MM/dd/yyyy"))
+        .when(quantity == 48, F.date_format(day, "d-MMM-yy"))
+        .when(quantity == 47, F.date_format(day, "yyyy-MM-dd'T'10:00:00'Z'"))
+        .when(quantity == 46, F.date_format(day, "M/d/yyyy 0:00"))
+        .when(quantity == 45, F.date_format(day, "MMMM d, yyyy"))
+        .when(quantity == 44, F.date_format(day, "yyyy.MM.dd"))
         .otherwise(F.date_format(day, "yyyy-MM-dd"))
     )
     amount = (
@@ -97,14 +106,17 @@ def _raw(lines: DataFrame, spec: LedgerSpec, day: str, party: str, category: str
         .when(quantity == 9, F.concat(F.lit("-"), price))
         .otherwise(price)
     )
-    name = F.when(quantity == 4, "   ").when(quantity == 5, "NA").otherwise(F.col(party))
+    name = (
+        F.when(quantity == 4, "   ").when(quantity == 5, "NA").when(quantity == 42, "\t").otherwise(F.col(party))
+    )
+    filled = quantity != 43
     return lines.select(
         TENANT,
         "id",
-        date.alias("date"),
-        name.alias(spec.party),
-        amount.alias(spec.amount),
-        F.when(F.col("l_returnflag") != "R", F.col(category)).alias("category"),
+        F.when(filled, date).alias("date"),
+        F.when(filled, name).alias(spec.party),
+        F.when(filled, amount).alias(spec.amount),
+        F.when(filled & (F.col("l_returnflag") != "R"), F.col(category)).alias("category"),
     )
 
 
@@ -137,7 +149,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """
     raw = raw_sales(spark, folder)
     kind = F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint") % 4
-    name = F.replace(F.col("product"), F.lit('"'), F.lit('""'))
+    name = F.replace(F.coalesce("product", F.lit("")), F.lit('"'), F.lit('""'))
     start = F.concat(_quoted("date"), F.lit(',"'), name)
     end = F.concat(_quoted("sales"), F.lit(","), _quoted("category"))
     plain, moved = kind % 2 == 0, kind % 2 == 1
