@@ -32,11 +32,9 @@ CLASSES = {
 }
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; a null, empty or blank text has zeros."""
-    text = F.coalesce(text, F.lit(""))
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a whole text, given with its words; without any characters they are zeros."""
     chars = F.greatest(F.length(text), F.lit(1))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     count = F.greatest(F.size(words), F.lit(1))
     after = F.slice(words, F.lit(2), count)
     repeats = F.filter(F.zip_with(words, after, lambda a, b: a == b), lambda same: same)
@@ -91,15 +89,23 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` as the struct ``row``, and the struct ``stats``.
 
     The statistics pass a generator of one row, so that a later filter on the score does not make Spark
-    compute them again for every rule.
+    compute them again for every rule. Text and words are columns before it, as inside a generator
+    Spark would extract the words anew at each mention.
     """
-    one = F.array(F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()]))
-    return df.select(F.struct("*").alias("row"), F.explode(one).alias("stats"))
+    text = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    split = df.select(F.struct("*").alias("row"), text.alias("text"), words.alias("words"))
+    one = F.array(F.struct(*[c.alias(n) for n, c in statistics(F.col("text"), F.col("words")).items()]))
+    return split.select("row", F.explode(one).alias("stats"))
+
+
+def statistic_names() -> list[str]:
+    return list(statistics(F.lit(""), F.array()))
 
 
 def tree_rules(forest) -> list[Rule]:
     """Every path from a root to an inner or outer node of every tree, as rules without repeats."""
-    names = list(statistics(F.lit("")))
+    names = statistic_names()
     rules: dict[Rule, None] = {}
 
     def walk(node, path: tuple) -> None:
@@ -121,7 +127,7 @@ def fit(training: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0
 
     Without both labels there, the model is the constant (ones + 1) / (rows + 2).
     """
-    names = list(statistics(F.lit("")))
+    names = statistic_names()
     training = training.filter("label is not null")
     n, ones = training.agg(F.count("*"), F.sum(F.col("label").cast("double"))).first()
     if not n or not ones or ones == n:
