@@ -103,7 +103,8 @@ def find_leaks(
 
     near = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    some = docs.select("doc_id", "text", text_key).join(small(near), same, "left_semi")
+    # Written, as a filter on the tokens would otherwise be pushed below the join and read every text.
+    some = write_and_read(docs.select("doc_id", "text", text_key).join(small(near), same, "left_semi"))
     found = windows(some.select("doc_id", "text_key", tokens(F.col("text")).alias("tokens")), width)
     pairs = found.join(small(known), "window").withColumn("shift", F.col("at") - F.col("item_at"))
     on = ["doc_id", "text_key", "item_id", "shift"]
@@ -127,5 +128,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that leak a benchmark item; same columns."""
     leaks = write_and_read(find_leaks(docs, benchmark, **options).select("doc_id", "text_key").distinct())
     leaks = leaks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(small(leaks), same, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key"))
+    return rows.join(small(leaks), same, "left_anti").select("row.*")
