@@ -33,8 +33,8 @@ BAND, ALL_BELOW = 0.25, 64
 
 
 def sets_of(docs: DataFrame, width: int, percent: int, whole: bool = False) -> DataFrame:
-    """``(doc_id, f, n, hashes)``: fingerprint and size of each document's set, and its hashes, all of
-    them or those that step 1 needs."""
+    """``(doc_id, at, f, n, hashes)``: a number of the row, fingerprint and size of its set, and its
+    hashes, all of them or those that step 1 needs. The numbers hold once the result is written."""
     # A set of fewer than ALL_BELOW can be linked to sets up to this size, so they show all as well.
     shown = ALL_BELOW * 100 // percent + 1
     limit = np.uint64(int(BAND * 2**64))
@@ -50,14 +50,14 @@ def sets_of(docs: DataFrame, width: int, percent: int, whole: bool = False) -> D
             ends = np.cumsum([0, *map(len, kept)])
             values = np.concatenate(kept) if kept else np.empty(0, np.int64)
             hashes = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values, pa.int64()))
-            columns = [part.column("doc_id"), pa.array(f, pa.int64()), pa.array(n, pa.int64())]
+            columns = [part.column("doc_id"), part.column("at"), pa.array(f, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*columns, hashes.cast(pa.list_(pa.int64()))], ["doc_id", "f", "n", "hashes"]
+                [*columns, hashes.cast(pa.list_(pa.int64()))], ["doc_id", "at", "f", "n", "hashes"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, f bigint, n bigint, hashes array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, at bigint, f bigint, n bigint, hashes array<bigint>"
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at")).mapInArrow(run, schema)
 
 
 def _spare(n: Column, percent: int) -> Column:
@@ -65,16 +65,20 @@ def _spare(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100)
 
 
-def _undecided(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Classes with too few shingles of their own to be set aside."""
-    seen = sets.select("f", F.explode("hashes").alias("s"))
-    single = seen.groupBy("s").agg(F.min("f").alias("f"), F.max("f").alias("g")).filter("f = g")
+def _undecided(sets: DataFrame, percent: int) -> DataFrame:
+    """``(k, f, doc_id, n)`` of classes with too few shingles of their own to be set aside, numbered by
+    ``k``. Rows count for themselves here, as their small numbers shuffle in fewer bytes than
+    fingerprints; a class of several rows has no shingle of its own and is never set aside."""
+    seen = sets.select("at", F.explode("hashes").alias("s"))
+    single = seen.groupBy("s").agg(F.min("at").alias("at"), F.max("at").alias("top")).filter("at = top")
     # Hashes are signed here; the part of the range starts at 0 and ends below 2 ** 62.
     inside = (F.col("s") >= 0) & (F.col("s") < int(BAND * 2**64))
-    own = single.groupBy("f").agg(F.count("*").alias("every"), F.count_if(inside).alias("part"))
-    joined = classes.filter("n > 0").join(own, "f", "left")
+    own = single.groupBy("at").agg(F.count("*").alias("every"), F.count_if(inside).alias("part"))
+    rows = sets.filter("n > 0").select("at", "f", "doc_id", "n").join(own, "at", "left")
     counted = F.coalesce(F.when(F.col("n") < ALL_BELOW, F.col("every")).otherwise(F.col("part")), F.lit(0))
-    return joined.filter(counted <= _spare(F.col("n"), percent)).select("f", "doc_id")
+    left = rows.filter(counted <= _spare(F.col("n"), percent))
+    left = left.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    return left.withColumn("k", F.monotonically_increasing_id())
 
 
 def _ranked(docs: DataFrame, left: DataFrame, width: int, percent: int) -> DataFrame:
@@ -82,11 +86,11 @@ def _ranked(docs: DataFrame, left: DataFrame, width: int, percent: int) -> DataF
     ids = small(left.select(F.col("doc_id").alias("_id")).distinct())
     picked = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     again = write_and_read(sets_of(picked, width, percent, whole=True))
-    seen = again.join(small(left.select("f")), "f", "left_semi").select("f", "n", F.explode("hashes").alias("s"))
-    counts = seen.groupBy("s").agg(F.count("*").alias("c"), F.min("f").alias("a"), F.max("f").alias("b"))
+    seen = again.join(small(left.select("f", "k")), "f").select("k", F.explode("hashes").alias("s"))
+    counts = seen.groupBy("s").agg(F.count("*").cast("int").alias("c"), F.min("k").alias("a"), F.max("k").alias("b"))
     shared = seen.join(counts.filter("a < b").select("s", "c"), "s")
-    pairs = F.array_sort(F.collect_set(F.struct("c", "s")))
-    return shared.groupBy("f").agg(F.max("n").alias("n"), pairs.alias("shared"))
+    ranked = shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("c", "s"))).alias("shared"))
+    return ranked.join(left, "k").select("f", "n", "shared")
 
 
 def _candidates(ranked: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +178,7 @@ def linked_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     """
     sets = write_and_read(sets_of(docs, width, percent))
     classes = write_and_read(sets.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    left = write_and_read(_undecided(sets, classes, percent))
+    left = write_and_read(_undecided(sets, percent))
     ranked = write_and_read(_ranked(docs, left, width, percent))
     rough = write_and_read(components(_candidates(ranked, percent)))
     hashes = F.array_sort(F.transform("shared", lambda e: e["s"])).alias("hashes")
@@ -202,11 +206,12 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     names = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")))
     ids = linked.groupBy(F.col("doc_id").alias("_id")).agg(names.alias("_names"), F.count("*").alias("_rows"))
     ids = write_and_read(ids.filter("_names").drop("_names"))
-    kept = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = kept.filter("_rows = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(small(ids), F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    single = kept.filter("_rows = 1").select("row.*")
     if ids.filter("_rows > 1").isEmpty():
         return single
-    repeated = kept.filter("_rows > 1").select(*docs.columns)
+    repeated = kept.filter("_rows > 1").select("row.*")
     return single.unionByName(_first_of_repeats(repeated, linked, width, percent))
 
 
