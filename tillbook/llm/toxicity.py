@@ -247,7 +247,8 @@ def lexicon_of(known: DataFrame, least: int = 3, odds: float = 1.5, evidence: fl
     counts = seen.groupBy("entry").agg(
         F.sum(F.col("label").cast("double")).alias("ones"), F.count("*").cast("double").alias("n")
     )
-    total, toxic = seen.agg(F.count("*"), F.sum(F.col("label").cast("double"))).first()
+    counts = write_and_read(counts)
+    total, toxic = counts.agg(F.sum("n"), F.sum("ones")).first()
     if not total or not toxic or toxic == total:
         return []
     base = toxic / total
