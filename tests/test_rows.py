@@ -256,17 +256,80 @@ def test_csv_files_of_different_layout(spark, tmp_path):
     (tmp_path / "user_id=007" / "c.txt").write_text("date,product,sales\n2024-01-05,A,1\n")
     out = src.read_csv_uploads(spark, str(tmp_path), SALES)
     columns = ("user_id", "date", "product", "sales", "category", "reject_reason")
-    assert sorted(rows(out, *columns)) == [
+    assert sorted(rows(out, *columns), key=str) == [
         ("007", "2024-01-07", "C", "3", "x, y", None),
+        ("007", None, None, None, None, "unsupported_file"),
         ("t 1", "2024-01-05", "A", "1", None, None),
         ("t 1", "2024-01-06", "B", "2", None, None),
     ]
     one = src.read_csv_uploads(spark, str(tmp_path / "user_id=007"), SALES, tenant="z")
-    assert rows(one, "user_id", "sales") == [("z", "3")]
+    assert rows(one.filter("reject_reason is null"), "user_id", "sales") == [("z", "3")]
     plain = src.read_csv_ledger(spark, str(tmp_path / "user_id=007"))
     assert rows(ops.conform(ops.normalize_columns(plain), SALES.upload_columns), "sales") == [("3",)]
 
 
+def test_every_line_of_a_folder_has_a_place(spark, tmp_path):
+    head = "date,product,sales,category\n"
+    for tenant, name, text in (
+        ("a", "x.csv", head + '2024-01-05,"Big\nbox",1,c\n' + head + "2024-01-06,B,2,c,9,9\n2024-01-07,C,3\n"),
+        ("a", "y.csv", head), ("a", "z.csv", " \n"), ("b", "n.XLS", "x"),
+    ):
+        (tmp_path / f"user_id={tenant}").mkdir(exist_ok=True)
+        (tmp_path / f"user_id={tenant}" / name).write_text(text)
+    (tmp_path / "stray.csv").write_text(head + "2024-01-05,A,1,c\n")
+
+    def reasons(**options):
+        out = ops.flag_upload(src.read_csv_uploads(spark, str(tmp_path), SALES, **options), SALES)
+        return sorted(rows(out, "user_id", "product", "reject_reason"), key=str)
+
+    files = [("a", None, "no_rows"), ("a", None, "no_rows"), ("b", None, "unsupported_file"), (None, "A", "missing_tenant")]
+    lines = [("a", "product", "repeated_header"), ("a", "B", "too_many_fields"), ("a", "C", None)]
+    cut = [r for r in reasons() if r[2] == "unclosed_quote"]
+    assert len(cut) == 2 and sorted([r for r in reasons() if r not in cut], key=str) == sorted(files + lines, key=str)
+    whole = [r for r in reasons(multiline=True) if r not in files]
+    assert sorted(whole, key=str) == sorted([*lines, ("a", "Big\nbox", None)], key=str)
+
+
+def test_partial_updates_keep_what_they_do_not_give(spark):
+    book = ledger(spark, [("t", "2024-01-05", "A", 1, "x"), ("t", "2024-01-06", "B", 2, "y")])
+    schema = "user_id string, id string, op string, seq int, date date, product string, sales double, category string"
+    steps = [
+        ("t", "r0", "update", 1, None, "A2", None, None), ("t", "r0", "update", 2, None, None, 9.0, None),
+        ("t", "r1", "update", 1, None, None, 5.0, None), ("t", "r1", "delete", 2, None, None, None, None),
+        ("t", "new", "insert", 1, None, "N", 3.0, None), ("t", "new", "update", 2, None, None, 4.0, None),
+    ]
+    out = ops.apply_changes(book, spark.createDataFrame(steps, schema), SALES)
+    want = [("new", None, "N", 4.0, ""), ("r0", day("2024-01-05"), "A2", 9.0, "x")]
+    assert sorted(rows(out, "id", "date", "product", "sales", "category")) == want
+    updates = spark.createDataFrame([s for s in steps if s[2] == "update"], schema)
+    out = ops.apply_updates(book, updates, SALES)
+    assert sorted(rows(out, "id", "product", "sales")) == [("r0", "A2", 9.0), ("r1", "B", 5.0)]
+
+
+def test_one_goal_for_all(spark):
+    goals = spark.createDataFrame([("t", 4.0), ("u", 16.0)], "user_id string, goal double")
+    out = ops.goal_progress(ledger(spark, [("t", None, "A", 1), ("v", None, "B", 4)]), SALES, goals, by=[])
+    assert rows(out, "actual", "goal", "pct") == [(5.0, 20.0, 25.0)]
+
+
+def test_a_tenant_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    book = ledger(spark, [(f"t{i % 40:02d}", "2024-01-05", f"party {i}", i) for i in range(4000)])
+    path = tmp_path / "ledger"
+    src.write_ledger(book, str(path), **{"parquet.block.size": 4096, "parquet.page.size.row.check.min": 10,
+                                         "parquet.block.size.row.check.min": 10})
+    groups = []
+    for file in path.rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for i in range(meta.num_row_groups):
+            stats = [meta.row_group(i).column(c).statistics for c in range(meta.num_columns)
+                     if meta.row_group(i).column(c).path_in_schema == "user_id"][0]
+            groups.append((stats.min, stats.max))
+    assert len(groups) > 3 and sum(a <= "t07" <= b for a, b in groups) <= 1 + len(groups) // 3
+    assert src.scan_ledger(spark, str(path), SALES, ["t07"]).count() == 100
+
+
 def test_stored_ledger(spark, tmp_path):
     path = str(tmp_path / "ledger")
     book = ledger(spark, [*FOUR, ("u", "2024-03-01", "A", 5)])

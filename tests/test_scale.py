@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from helpers import SALES, ledger, rows
+from helpers import EXPENSES, SALES, ledger, rows
 from pyspark.sql import functions as F
 
 from tillbook import operators as ops
@@ -74,6 +74,26 @@ def test_deep_pages_equal_shallow_ones(spark, stored):
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
 
 
+def test_null_tenants_and_ties_on_every_page(spark):
+    book = ledger(spark, [(None if i % 3 == 0 else "t", "2024-01-05", "A", 1) for i in range(60)])
+    pages = lambda: rows(ops.list_page(book, SALES, page=2, size=7).orderBy("user_id", "position"), "user_id", "position", "id")
+    want = pages()
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 5)
+    try:
+        assert pages() == want and len(want) == 14
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+
+
+def test_the_summary_sorts_nothing_as_a_whole(spark, data):
+    cubes = [
+        src.write_and_read(plans.ledger_cube(ops.clean_ledger(read(spark, data), s), s), ["grain"])
+        for s, read in ((SALES, wh.sales_ledger), (EXPENSES, wh.expense_ledger))
+    ]
+    assert "rangepartitioning" not in final_plan(plans.business_summary(*cubes, SALES, EXPENSES))
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One tenant and one party hold most rows."""

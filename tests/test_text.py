@@ -44,7 +44,12 @@ DATES = {
     "2024/3/9": "2024-03-09", " 2024-01-05 ": "2024-01-05", "2024-01-05 10:30:00": "2024-01-05",
     "2024-01-05T23:59:59": "2024-01-05", "20240105": "2024-01-05", "5 Jan 2024": "2024-01-05",
     "Jan 5, 2024": "2024-01-05", "2024-13-01": None, "2024-02-30": None, "soon": None, "": None,
-    "13/13/2024": None,
+    "13/13/2024": None, "1/31/2024 0:00": "2024-01-31", "31-Jan-24": "2024-01-31", "31-Jan-2024": "2024-01-31",
+    "1/31/24": "2024-01-31", "2024-01-31T10:00:00Z": "2024-01-31", "2024-01-31T23:00:00+00:00": "2024-01-31",
+    "2024-01-31 10:00": "2024-01-31", "2024-01-31 10:00:00.000": "2024-01-31", "Jan 31 2024": "2024-01-31",
+    "January 31, 2024": "2024-01-31", "31/01/2024": "2024-01-31", "01-31-2024": "2024-01-31",
+    "2024.01.31": "2024-01-31", "2024-01": "2024-01-01", "31-Dec-98": "1998-12-31", "2024-01-31 25:00": None,
+    "2024-01-31T23:00:00-05:00": "2024-01-31", "10:00": None,
 }
 
 

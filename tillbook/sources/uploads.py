@@ -83,7 +83,7 @@ def read_csv_uploads(
     Every line but the headers gives a row. ``reject_reason`` tells those of the parsing step,
     ``unclosed_quote`` (an odd number of quotes in a line) and ``repeated_header``. A file that gives
     no lines is one row: ``unsupported_file`` if it is not named as CSV, ``no_rows`` if it holds a
-    header at most.
+    header at most. Files of zero bytes are invisible to Spark's readers and give nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.select(F.col("_metadata.file_path").alias("file"))
