@@ -87,8 +87,8 @@ def read_csv_uploads(
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.select(F.col("_metadata.file_path").alias("file"))
-    source = spark.read.option("recursiveFileLookup", True).option("wholetext", multiline)
-    text = source.text(path, pathGlobFilter=CSV_GLOB).select(
+    source = spark.read.option("recursiveFileLookup", True)
+    text = source.text(path, wholetext=multiline, pathGlobFilter=CSV_GLOB).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
         _repair(F.col("value")).alias("line"),
