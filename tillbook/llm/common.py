@@ -75,9 +75,9 @@ def deal_blocks(members: DataFrame, group: str, number: str, most: int, kernel,
     blocks are range-partitioned, which packs small groups together. ``kernel`` gets the rows of one
     pair of blocks as two frames (the same one twice for a block with itself) and returns a frame.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1")
+    sizes = write_and_read(members.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1"))
     parts = F.ceil(F.col("_m") / most).cast("int")
-    blocked = members.join(sizes, group).withColumn("_n", parts).withColumn(
+    blocked = members.join(small(sizes), group).withColumn("_n", parts).withColumn(
         "_block", F.pmod(F.xxhash64(number), F.col("_n")).cast("int")
     )
     dealt = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

@@ -27,7 +27,7 @@ from tillbook.llm.shingles import fingerprint, text_sets
 from tillbook.sources import write_and_read
 
 #: Sets are compared in blocks of about so many.
-BLOCK = 192
+BLOCK = 512
 #: The part of the hash range on which step 1 decides, and the size below which it uses all of it.
 BAND, ALL_BELOW = 0.25, 64
 
@@ -182,7 +182,7 @@ def linked_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     ranked = write_and_read(_ranked(docs, left, width, percent))
     rough = write_and_read(components(_candidates(ranked, percent)))
     hashes = F.array_sort(F.transform("shared", lambda e: e["s"])).alias("hashes")
-    members = ranked.join(rough, F.col("f") == F.col("node")).select("root", "f", "n", hashes)
+    members = ranked.join(small(rough), F.col("f") == F.col("node")).select("root", "f", "n", hashes)
     links = deal_blocks(write_and_read(members), "root", "f", BLOCK, _compare(percent), "x bigint, y bigint")
     found = write_and_read(components(write_and_read(links)))
 
