@@ -135,6 +135,14 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, block):
     assert embeddings.link_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("kind, labels", [("int", [-1, -2, -1]), ("bigint", [2**60, 2**60 + 1, 2**60]), ("string", ["a", "b", "a"])])
+def test_labels_that_look_alike_are_kept_apart(spark, kind, labels):
+    rows = [(i, [1.0, 2.0, 3.0], x) for i, x in enumerate([*labels, None])]
+    vectors = spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")
+    found = {r["vec_id"]: r["component_id"] for r in embeddings.link_vectors(vectors).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
 ITEM = "A train leaves the station at 60 km per hour while Anna waits 25 minutes, then Anna drives 60 km home alone"
 LEAKS = {
     1: ("intro words here. " + ITEM + " and more follows", True),

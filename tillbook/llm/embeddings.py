@@ -111,7 +111,7 @@ def unit_vector(values, label) -> np.ndarray | None:
 
 def _hashed(rows: DataFrame, hashing: LatticeHash) -> DataFrame:
     """``(number, f, cells)`` of every vector that can be linked; ``f`` is equal for equal vectors of
-    one label."""
+    one label. ``rows`` gives a hash of the label in its place."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -120,7 +120,7 @@ def _hashed(rows: DataFrame, hashing: LatticeHash) -> DataFrame:
             for d in np.unique(size[size > 0]):
                 at = np.flatnonzero(size == d)
                 unit = np.stack([units[i] for i in at])
-                label = np.array([hash(part["label"].iat[i]) for i in at], np.int64).view(np.uint64)
+                label = part["label"].to_numpy(np.int64)[at].view(np.uint64)
                 salt = mixed(label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
                 f = salt.copy()
                 for k in range(d):
@@ -155,6 +155,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, hashing: LatticeHash |
     ``least`` and the index brings them together; every pair that it does is compared, so no reported
     link is below. Equal vectors are compared once and counted as often as they occur. Null, zero and
     non-finite vectors, and those without a label, are linked with nothing and are their own component.
+    Labels of any type compare as in Spark.
     Rows with equal ids are separate vectors; ``kept`` marks those that carry their component's id.
 
     Every row is indexed. Cells of any length are connected through their smallest member, and what
@@ -163,7 +164,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, hashing: LatticeHash |
     hashing = hashing or LatticeHash()
     rows = vectors.select("vec_id", "embedding", "label", F.monotonically_increasing_id().alias("number"))
     rows = write_and_read(rows)
-    hashed = write_and_read(_hashed(rows.select("number", "embedding", "label"), hashing))
+    # Vectors without a label drop out here, so that no null turns the hashes into floating numbers.
+    labelled = rows.filter("label is not null").select("number", "embedding", F.xxhash64("label").alias("label"))
+    hashed = write_and_read(_hashed(labelled, hashing))
     classes = write_and_read(hashed.groupBy("f").agg(F.min("number").alias("number"), F.count("*").alias("rows")))
     cells = hashed.select("f", F.explode(F.array_distinct("cells")).alias("cell")).distinct()
     cells = write_and_read(cells)
