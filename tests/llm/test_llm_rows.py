@@ -195,3 +195,92 @@ def test_licences(spark):
     out = licenses.scan_licenses(rows)
     assert {r["doc_id"]: r["licenses"] for r in out.collect()} == dict(enumerate(LICENCES.values()))
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2011, Some Name, Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_real_licence_texts(spark):
+    """Unmodified and wrapped, in comments, on one line, after a title."""
+    bsd2 = BSD.split("\n\n3.")[0]
+    full = ["ApacheUnder 2.0", "ApacheMayNot", "ApacheObtain", "ApacheAsIs"]
+    texts = {
+        APACHE: (["Apache 2.0"], full), commented(APACHE, "#"): (["Apache 2.0"], full),
+        commented(APACHE, " *").replace("\n", "\r\n"): (["Apache 2.0"], full),
+        " ".join(APACHE.split()): (["Apache 2.0"], full), "My project\n" + APACHE: (["Apache 2.0"], full),
+        MIT: (["MIT"], ["MitGrant", "AsIs"]), commented(MIT, "//"): (["MIT"], ["MitGrant", "AsIs"]),
+        BSD: (["BSD-3-Clause", "AllRightsReserved"], None), commented(BSD, "dnl"): (["BSD-3-Clause", "AllRightsReserved"], None),
+        BSD.replace("the copyright holder", "Some Name, Inc."): (["BSD-3-Clause", "AllRightsReserved"], None),
+        bsd2: (["BSD-2-Clause", "AllRightsReserved"], None),
+        GPL: (["GPL 3"], ["GplUnder 3", "GplNoWarranty"]), commented(GPL, ";;"): (["GPL 3"], ["GplUnder 3", "GplNoWarranty"]),
+        GPL.replace("This program", "Some tool"): (["GPL 3"], ["GplUnder 3", "GplNoWarranty"]),
+        MPL: (["MPL 2.0"], ["MplUnder 2.0"]),
+        "A title\nReleased under the MIT License\nno stop anywhere": (["MIT"], ["MitUnder"]),
+        "This is not something licensed under the MIT License": ([], []),
+    }
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    for i, (names, ids) in enumerate(texts.values()):
+        assert out[i]["licenses"] == names and ids in (None, out[i]["sentences"]), (i, out[i])

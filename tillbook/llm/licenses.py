@@ -1,23 +1,21 @@
 """License scans: sentences become identifiers, ordered rules read the identifier sequence.
 
-Column expressions only. A text is cut into sentences, each sentence is normalised and looked up among
-known licence sentences; the rules then match runs of identifiers, most specific rule first, and every
-rule consumes what it matched.
+Column expressions only. A text is normalised to words and boundaries, known licence sentences are found
+between boundaries, wrapped over lines or not; the rules then match runs of identifiers, most specific
+rule first, and every rule consumes what it matched.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised licence sentences (see ``normalised``) by identifier. ``#`` stands for a
-#: version number, which is kept beside the identifier.
+#: version number, which is kept beside the identifier, ``*`` for a name of one to twelve words.
 SENTENCES = (
     ("CopyrightLine", ("copyright c #", "copyright #")),
     ("AllRights", ("all rights reserved",)),
-    ("ApacheUnder", ("licensed under the apache license version #",)),
+    ("ApacheUnder", ("licensed under the apache license version #", "licensed under the apache license version # the license")),
     ("ApacheMayNot", ("you may not use this file except in compliance with the license",)),
     ("ApacheObtain", ("you may obtain a copy of the license at",)),
     ("ApacheAsIs", (
@@ -28,18 +26,34 @@ SENTENCES = (
     ("MitGrant", (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
         " documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions",
+    )),
+    ("AsIs", (
+        "the software is provided as is without warranty of any kind",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and noninfringement",
     )),
-    ("AsIs", ("the software is provided as is without warranty of any kind",)),
     ("GplUnder", (
         "this work is licensed under the gnu general public license version #",
         "licensed under the gnu general public license version #",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
         " public license as published by the free software foundation either version # of the license or at your"
         " option any later version",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
+        " free software foundation either version # of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
+        " public license as published by the free software foundation version # of the license",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
+        " free software foundation version # of the license",
     )),
     ("GplNoWarranty", (
         "this program is distributed in the hope that it will be useful but without any warranty without even the"
         " implied warranty of merchantability or fitness for a particular purpose",
+        "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty"
+        " of merchantability or fitness for a particular purpose",
     )),
     ("CcByNc", ("licensed under cc by nc #", "this work is licensed under cc by nc #")),
     ("CcBySa", ("licensed under cc by sa #", "this work is licensed under cc by sa #")),
@@ -57,8 +71,8 @@ SENTENCES = (
         " following disclaimer in the documentation and or other materials provided with the distribution",
     )),
     ("BsdEndorse", (
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
-        " products derived from this software without specific prior written permission",
+        "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission",
     )),
     ("MplUnder", ("this source code form is subject to the terms of the mozilla public license v #",)),
 )
@@ -81,28 +95,55 @@ RULES = (
     ("AllRightsReserved", ("AllRights",)),
 )
 
-#: Sentences end at line breaks, and at ``.``, ``!`` or ``?`` before white space.
-BREAK = r"[\r\n]+|(?<=[.!?])[ \t]+"
 VERSION = r"[0-9]+(?:\.[0-9]+)*"
-#: A cheap test that every known sentence passes; other sentences are not normalised.
+#: A cheap test that every known sentence passes; other texts are not normalised.
 HINT = r"(?i)licen[sc]e|copyright|rights|permission|redistribut|warranty|endorse"
 
+#: What makes the normalised text, in order, on lower-cased text. A carriage return marks an end (blank
+#: line, or ``.``, ``!``, ``?`` before white space), a line feed a place where a sentence may begin, end or
+#: go on (line break, colon, semicolon, address, number in a list). Comment marks become spaces.
+STEPS = (
+    (r"\r\n?", "\n"),
+    (r"(?m)^[^\p{L}\p{N}\n]*(?:dnl|rem)[ \t]", " "),
+    (r"\b(v|ver)\.\s*(?=[0-9])", "$1 "),
+    (r"https?://[^\s<>\"')]+", "\n"),
+    (r"\n[^\p{L}\p{N}\n]*(?=\n)|[.!?][\"')\]]*(?=\s)", "\r"),
+    (r"[:;]|(?<=[0-9])\)", "\n"),
+    (r"[^a-z0-9.\r\n]+|(?<![0-9])\.|\.(?![0-9])", " "),
+)
+
 
-def normalised(sentence: Column) -> Column:
-    """Lower-cased ASCII words; version numbers become ``#``, all else becomes single spaces."""
-    lowered = F.regexp_replace(F.lower(sentence), VERSION, "#")
-    return F.trim(F.regexp_replace(lowered, r"[^a-z#]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower-cased ASCII words, version numbers and boundaries (see ``STEPS``)."""
+    out = F.lower(text)
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def _pattern(sentence: str) -> str:
+    """A name may go on over boundaries (``Some Name, Inc.``) unless the sentence begins with it."""
+    out = r"[ \n]+".join(VERSION if w == "#" else w for w in sentence.split(" "))
+    out = out.replace(r"[ \n]+*[ \n]+", r"[ \n]+[^ \r\n]+(?:[ \r\n]+[^ \r\n]+){0,11}?[ \r\n]+")
+    return r"[^ \r\n]+(?: [^ \r\n]+){0,11}?" + out[1:] if sentence.startswith("*") else out
 
 
 def known_sentences(text: Column) -> Column:
     """The known sentences of a text in order, as an array of ``identifier version`` (version may be
-    empty)."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, all_ in SENTENCES for s in all_))
-    hinted = F.filter(F.split(text, BREAK), lambda s: s.rlike(HINT))
-    found = F.transform(
-        hinted, lambda s: F.concat_ws(" ", F.coalesce(F.try_element_at(known, normalised(s)), F.lit("-")), F.regexp_extract(s, VERSION, 0))
-    )
-    return F.transform(F.filter(found, lambda s: s.rlike("^[A-Z]")), lambda s: F.rtrim(s))
+    empty).
+
+    A sentence stands between two boundaries and may go on over line breaks; of two that begin at one
+    place the longer counts.
+    """
+    every = sorted((s for _, all_ in SENTENCES for s in all_), key=len, reverse=True)
+    between = rf"(?<![^\r\n]) *({'|'.join(map(_pattern, every))})(?= *(?:[\r\n]|\z))"
+    found = F.regexp_extract_all(normalised(text), F.lit(between), F.lit(1))
+
+    def entry(s: Column) -> Column:
+        name = F.coalesce(*[F.when(s.rlike(rf"\A(?:{'|'.join(map(_pattern, all_))})\z"), F.lit(i)) for i, all_ in SENTENCES])
+        return F.rtrim(F.concat_ws(" ", name, F.regexp_extract(s, VERSION, 0)))
+
+    return F.transform(found, entry)
 
 
 def apply_rules(sequence: Column) -> Column:
