@@ -170,6 +170,19 @@ def test_leaks(spark):
     assert decontaminate.drop_leaks(docs, items.limit(0)).count() == docs.count()
 
 
+def test_leaks_at_every_offset(spark):
+    """Items of one to nine tokens, and two thirds of one of nine, behind any number of other words."""
+    asked = "what is the capital of france and of spain".split()
+    items = spark.createDataFrame([(n, " ".join(asked[:n])) for n in (3, 4, 5, 6, 8, 9)], "item_id bigint, text string")
+    rows = [(100 * n + k, " ".join(["so"] * k + asked[:n] + ["and then some"])) for n in (3, 4, 5, 6, 8, 9) for k in range(7)]
+    rows += [(1000 + k, " ".join(["so"] * k + asked[1:8] + ["then"])) for k in range(7)] + [(2000, "what is the"), (2001, "is the capital")]
+    out = decontaminate.find_leaks(documents(spark, rows), items).select("doc_id", "item_id").collect()
+    for n in (3, 4, 5, 6, 8, 9):
+        assert {i for i, m in out if m == n} >= {100 * n + k for k in range(7)}, n
+    assert {i for i, m in out if m == 9} >= {1000 + k for k in range(7)}
+    assert {m for i, m in out if i == 2000} == {3} and not [m for i, m in out if i == 2001]
+
+
 def test_templates_agree_token_by_token(spark):
     texts = [ITEM, "", None, "1,000.5km x3 #@% Élan vital, Élan", "A 5 Kg bag; b5c é"]
     docs = documents(spark, list(enumerate(texts)))

@@ -7,14 +7,16 @@ placeholders must map to each other one to one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import small
 from tillbook.sources import write_and_read
 
-#: Tokens of a window. Document windows do not overlap, item windows start at every token, so that
-#: every shared run of at least 2 * WINDOW - 1 tokens contains a window of both.
+#: Tokens of a window. Windows of documents and items start at every token, so that every shared run of
+#: WINDOW tokens is seen, wherever it stands. A shorter item is one window of its own length.
 WINDOW = 5
 
 #: Units that follow a number.
@@ -87,25 +89,30 @@ def find_leaks(
     item's windows or a run of ``run`` tokens' worth of windows, and the slot values of the shared
     windows map one to one. ``exact`` tells verbatim copies from re-parameterised ones.
 
-    Whole texts of all documents are read; their windows join the item windows by equality, and only
-    documents with such a window are looked at token by token. Rows agreeing in id and text are one
-    result. Null and empty texts and items share nothing; items of fewer than 2 * ``width`` - 1 tokens
-    are only sure to be found in documents where a window starts at the right place.
+    Whole texts of all documents are read; the hashes of their windows join those of the item windows, and
+    only documents with such a window are looked at token by token. Rows agreeing in id and text are one
+    result. Null and empty texts and items share nothing. Items of fewer than ``width`` tokens are looked
+    for by windows of their own length, so a document with that run of template tokens leaks them.
     """
     text_key = F.xxhash64("text").alias("text_key")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).filter("item_id is not null")
     known = write_and_read(windows(items, width).withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
-    chunk = F.regexp_extract_all(template(F.col("text")), F.lit(f"(?:[^ ]+ ){{{width}}}"), F.lit(0))
-    shortest = F.filter(F.array(template(F.col("text"))), lambda t: F.size(F.split(t, " ")) - 1 < width)
-    pieces = docs.select("doc_id", text_key, F.explode(F.concat(chunk, shortest)).alias("window"))
-    keys = small(write_and_read(known.select("window").distinct()))
-    hits = write_and_read(pieces.join(keys, "window", "left_semi").select("doc_id", "text_key").distinct())
+    length = F.size(F.split("window", " ")) - 1
+    widths = [r[0] for r in known.select(length).distinct().collect()]  # at most ``width`` of them
+    every = lambda w: F.regexp_extract_all(template(F.col("text")), F.lit(f"(?=((?:[^ ]+ ){{{w}}}))[^ ]+ "), F.lit(1))
+    chunks = F.concat(F.array().cast("array<string>"), *[every(w) for w in sorted(widths)])
+    hashed = F.xxhash64("window").alias("window_key")
+    pieces = docs.select("doc_id", text_key, F.explode(chunks).alias("window")).select("doc_id", "text_key", hashed)
+    keys = small(write_and_read(known.select(hashed).distinct()))
+    hits = write_and_read(pieces.join(keys, "window_key", "left_semi").select("doc_id", "text_key").distinct())
 
     near = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     # Written, as a filter on the tokens would otherwise be pushed below the join and read every text.
     some = write_and_read(docs.select("doc_id", "text", text_key).join(small(near), same, "left_semi"))
-    found = windows(some.select("doc_id", "text_key", tokens(F.col("text")).alias("tokens")), width)
+    split = some.select("doc_id", "text_key", tokens(F.col("text")).alias("tokens"))
+    parts = [windows(split.filter(F.size("tokens") >= w), w) for w in sorted(widths) or [width]]
+    found = reduce(DataFrame.union, parts)
     pairs = found.join(small(known), "window").withColumn("shift", F.col("at") - F.col("item_at"))
     on = ["doc_id", "text_key", "item_id", "shift"]
     shared = pairs.groupBy(*on).agg(
