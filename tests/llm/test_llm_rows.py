@@ -159,6 +159,19 @@ def test_entropy_spans(spark):
     assert {r["doc_id"]: r["d"] for r in found.collect()} == dict(enumerate(texts.values()))
 
 
+def test_hex_beside_marks(spark):
+    """Capital, mixed and short small hex after and before the marks of assignments and paths."""
+    keys = ("F3A91C07E5D28B46F0C1", "f3A91c07E5d28B46f0C1A9B8", "f3a91c07e5d28b46f0c1")
+    texts = [(f"see {a}{key}{b} here", 4 + len(a), len(key)) for key in keys
+             for a, b in (("=", ""), ("/", ""), ("-", ""), ("_", ""), ("+", ""), ("KEY=", ""), ("DB_KEY=", ""), ("a/", "/b"), ("", "="))]
+    rows = documents(spark, [(i, t) for i, (t, _, _) in enumerate(texts)] + [(99, "z" + keys[2]), (98, keys[2] + "Z")])
+    found = secrets.scan_secrets(rows).select("doc_id", secrets.ENTROPY).collect()
+    out = {i: {(h["start"], h["end"]) for h in hits} for i, hits in found}
+    for i, (_, start, n) in enumerate(texts):
+        assert (start, start + n) in out[i], (texts[i], out[i])
+    assert all((k, k + 20) not in out[i] for i, k in ((99, 1), (98, 0)))
+
+
 def test_window_entropy_against_recount(spark):
     import math
 

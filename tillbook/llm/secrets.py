@@ -32,9 +32,10 @@ class CharClass:
     bits: float
 
 
-#: Digits and capitals or small letters mixed, as in keys and tokens; hex digits alone; both are tried.
+#: Hex digits alone, also as a part of a path or an assignment; digits and capitals or small letters mixed,
+#: as in keys and tokens; both are tried.
 CLASSES = (
-    CharClass("0123456789abcdefABCDEF", r"(?<![0-9A-Za-z+/_=-])[0-9a-fA-F]{20,}(?![0-9A-Za-z+/_=-])", 3.0),
+    CharClass("0123456789abcdefABCDEF", r"(?<![0-9A-Za-z])[0-9a-fA-F]{20,}(?![0-9A-Za-z])", 3.0),
     CharClass(
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
         r"[A-Za-z0-9+/_=-]{20,}",
