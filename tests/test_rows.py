@@ -345,3 +345,16 @@ def test_stored_ledger(spark, tmp_path):
     assert rows(src.scan_ledger(spark, flat, SALES, start="2024-02-03", end="2024-02-28"), "sales") == [(3.0,)]
     src.write_json(book.select("id", "category"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 5
+
+
+@pytest.mark.parametrize("date", [None, "2024-01-05"])
+def test_a_hot_day_and_undated_rows_are_divided(spark, tmp_path, date):
+    book, path = ledger(spark, [("t", date, "A", i) for i in range(2000)]), tmp_path / "ledger"
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        src.write_ledger(book, str(path))
+    finally:
+        spark.conf.unset(coalesce)
+    sizes = [spark.read.parquet(str(f)).count() for f in path.rglob("*.parquet")]
+    assert len(sizes) > 1 and max(sizes) < 1500 and sum(sizes) == 2000

@@ -52,14 +52,14 @@ def _month(day: str = "date") -> Column:
 def write_ledger(ledger: DataFrame, path: str, mode: str = "append", **options) -> None:
     """Store rows as Parquet partitioned by calendar month and ordered by tenant and date within.
 
-    The rows are range-partitioned by (month, tenant, date): a tenant's rows of a month lie together,
+    The rows are range-partitioned by (month, tenant, date, id): a tenant's rows of a month lie together,
     so that file and row-group statistics let a tenant's scan skip the rest, and a hot tenant is
-    divided by date. ``options`` go to the Parquet writer.
+    divided by date, its undated rows and those of one busy day by id. ``options`` go to the Parquet writer.
     """
     keys = [MONTH, TENANT, "date"]
     (
         ledger.withColumn(MONTH, _month())
-        .repartitionByRange(*keys)
+        .repartitionByRange(*keys, "id")
         .sortWithinPartitions(*keys)
         .write.mode(mode)
         .options(**options)
