@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -70,3 +73,74 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
         left -= sum(out[s] for s in above)
         open_ -= above
     return out
+
+
+def small_letters(text):
+    """Only A-Z in lower case."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def spelling_counts(docs, least=7, occurs=2):
+    """Occurrences of words over ``(doc_id, text)``."""
+    counts = {}
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = small_letters(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                counts[run] = counts.get(run, 0) + 1
+    return {w: n for w, n in counts.items() if n >= occurs}
+
+
+def single_edits(word, letters):
+    """All words one edit away."""
+    cut = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    out = {a + b[1:] for a, b in cut if b}
+    out |= {a + c + b[1:] for a, b in cut if b for c in letters}
+    out |= {a + c + b for a, b in cut for c in letters}
+    return out - {word}
+
+
+def spelling(counts, times=10):
+    """``word: (n, form, form_n, n_near, root)``."""
+    letters = {c for w in counts for c in w}
+    out, form = {}, {}
+    for word, n in counts.items():
+        near = [w for w in single_edits(word, letters) if w in counts]
+        best = min(near, key=lambda w: (-counts[w], w), default=None)
+        form[word] = best if best is not None and counts[best] >= times * n else None
+        out[word] = (n, form[word], counts.get(form[word]), len(near))
+    for word in counts:
+        root = word
+        while form[root] is not None:
+            root = form[root]
+        out[word] += (root,)
+    return out
+
+
+def search(docs, items, k=10):
+    """``(item_id, rank, doc_id, score)`` over ``(doc_id, text)`` and ``(item_id, text)``."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    found = [(doc_id, [small_letters(t) for t in term.findall(text or "")]) for doc_id, text in docs]
+    found = [(doc_id, t) for doc_id, t in found if t]
+    many, length = len(found), sum(len(t) for _, t in found)
+    held = [(doc_id, len(t), Counter(t)) for doc_id, t in found]
+    df = Counter(t for *_, c in held for t in c)
+    asked = {}
+    for item_id, text in items:
+        asked.setdefault(item_id, set()).update(small_letters(t) for t in term.findall(text or ""))
+    out = []
+    for item_id, terms in asked.items():
+        scored = []
+        for doc_id, n, tfs in held:
+            m = 100 - 90 + 90 * n * many // length
+            score = sum(
+                math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * tfs[t] // (1000 * tfs[t] + 8 * m))
+                for t in terms if t in tfs
+            )
+            scored.append((-score, doc_id is not None, doc_id or 0, doc_id))
+        best = [r for r in sorted(scored, key=lambda r: r[:3]) if r[0] < 0][:k]
+        out += [(item_id, rank, r[3], -r[0]) for rank, r in enumerate(best, 1)]
+    return out

@@ -69,5 +69,38 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+s AS (SELECT row_id, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM s),
+p AS (
+  SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) x GROUP BY row_id, term
+),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+w AS (
+  SELECT c.term, floor(1000 * ln((2 * g.docs + 2) / (2 * c.df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term) c, g
+),
+m AS (SELECT s.row_id, s.doc_id, 100 - 90 + ((90 * s.n * g.docs) // g.length) AS m FROM s, g),
+r AS (
+  SELECT q.item_id, m.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN w ON w.term = q.term JOIN p ON p.term = q.term JOIN m ON m.row_id = p.row_id
+  GROUP BY q.item_id, m.row_id, m.doc_id
+),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 10
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op5_url_filter": OP5}
+    return {"op1_mix_sources": OP1, "op5_url_filter": OP5, "op12_search": OP12}

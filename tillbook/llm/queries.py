@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, secrets, sharding, toxicity, urls
+from tillbook.llm import (
+    decontaminate, embeddings, jaccard, licenses, mixing, quality, search, secrets, sharding, spelling, tokens, toxicity, urls,
+)
 from tillbook.llm.common import utf8_bytes
 from tillbook.sources import write_and_read
 
@@ -127,9 +129,27 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.spelling_variants(_documents(spark, folder))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=10)
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and whether there are more than 512."""
+    import public_tokenizers
+
+    return tokens.token_report(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_decontaminate, op3_secret_scan, op4_near_vectors, op5_url_filter,
         op6_toxicity, op7_shard, op8_jaccard_join, op9_quality, op10_license_scan,
+        op11_spelling, op12_search, op13_token_counts,
     )
     return {f.__name__: f for f in found}
