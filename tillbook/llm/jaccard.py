@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.llm.arrow_text import parts_of_batch
 from tillbook.llm.common import components, deal_blocks, least_linked, small
 from tillbook.llm.shingles import fingerprint, text_sets
 from tillbook.sources import write_and_read
@@ -34,26 +35,25 @@ BAND, ALL_BELOW = 0.25, 64
 
 def sets_of(docs: DataFrame, width: int, percent: int, whole: bool = False) -> DataFrame:
     """``(doc_id, at, f, n, hashes)``: a number of the row, fingerprint and size of its set, and its
-    hashes, all of them or those that step 1 needs. The numbers hold once the result is written."""
+    hashes, all of them or those that step 1 needs. The numbers hold once the result is written. Rows are
+    worked on in parts of bounded bytes of text, so that memory does not grow with the rows of a batch."""
     # A set of fewer than ALL_BELOW can be linked to sets up to this size, so they show all as well.
     shown = ALL_BELOW * 100 // percent + 1
     limit = np.uint64(int(BAND * 2**64))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts_of_batch(batch, "text")):
             f, n, kept = [], [], []
             for found in text_sets(part.column("text"), width):
                 f.append(fingerprint(found) if len(found) else None)
                 n.append(len(found))
-                some = found if whole or len(found) <= shown else found[: np.searchsorted(found, limit)]
+                some = found if whole or len(found) <= shown else found[: np.searchsorted(found, limit)].copy()
                 kept.append(some.view(np.int64))
-            ends = np.cumsum([0, *map(len, kept)])
+            ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
             values = np.concatenate(kept) if kept else np.empty(0, np.int64)
-            hashes = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values, pa.int64()))
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             columns = [part.column("doc_id"), part.column("at"), pa.array(f, pa.int64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, hashes.cast(pa.list_(pa.int64()))], ["doc_id", "at", "f", "n", "hashes"]
-            )
+            yield pa.RecordBatch.from_arrays([*columns, hashes], ["doc_id", "at", "f", "n", "hashes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, at bigint, f bigint, n bigint, hashes array<bigint>"
