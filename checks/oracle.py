@@ -440,6 +440,14 @@ FROM sold WHERE q <> 8
 UNION ALL SELECT user_id, id || '-new', NULL, product, CAST(sales AS DOUBLE), '' FROM sold WHERE q = 7"""
 CHANGE_SQL["store_changes"] = CHANGE_SQL["apply_changes_partial"]
 
+CHANGE_SQL["store_snapshots"] = f"""WITH {SALES_LINES}, changed AS (
+{CHANGE_SQL["apply_changes_partial"].removeprefix(f"WITH {SALES_LINES}")})
+SELECT *, 2 AS version FROM changed UNION ALL SELECT {OLD}, 1 FROM sold"""
+CHANGE_SQL["append_twice"] = f"""WITH {SALES_LINES}
+SELECT user_id, date, 'any' AS product, CAST(sales AS DOUBLE) AS sales, category,
+       2 * count(*) AS records, 2 * count(*) AS ids FROM sold GROUP BY ALL"""
+CHANGE_SQL["store_compacted"] = f"WITH {SALES_LINES} SELECT {OLD} FROM sold"
+
 # An entry's amount; a number followed by "d" is a number in the engine that made the entries.
 ENTRIES = f"""{RAW_SALES}, entries AS (
   SELECT user_id, id, date AS raw_date, {RAW_DAY} AS date, trim(product, {BLANK}) AS product,
@@ -488,7 +496,8 @@ def all_sql() -> dict[str, str]:
     twins = ledger_sql(EXPENSE_LEDGER, "vendor", "amount", "budget", "5e6")
     twins |= upload_sql(RAW_EXPENSES, "vendor", "amount")
     out |= {n if n in ("budget_progress", "global_budget") else f"expense_{n}": q for n, q in twins.items()}
-    out |= CHANGE_SQL | CHECK_SQL | {"csv_ingest": out["ingest_upload"]}
+    out |= CHANGE_SQL | CHECK_SQL
+    out |= {"csv_ingest": out["ingest_upload"], "list_page_indexed": out["list_page_deep"]}
     flagged = _flagged(RAW_SALES, "product", "sales")
     out["csv_mixed_layouts"] = f"""WITH {flagged}
 SELECT CASE WHEN l_odd THEN 'a' ELSE 'b' END || '.csv' AS file, user_id, day AS date, product, num AS sales,

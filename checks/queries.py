@@ -361,6 +361,47 @@ def store_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(src.scan_ledger(spark, path, SALES, amount=kind))
 
 
+def _stored(spark: SparkSession, folder: str, batches: int = 1) -> src.Store:
+    """The sales ledger as a store of versions, appended in some batches."""
+    ledger = wh.sales_ledger(spark, folder)
+    store = src.Store(src.shared_folder(spark), SALES, ledger.schema["sales"].dataType)
+    for k in range(batches):
+        src.append_batch(spark, store, ledger.filter(F.pmod(F.hash("id"), F.lit(batches)) == k), f"part {k}")
+    return store
+
+
+def store_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """A ledger before and after a change set, both read after the change."""
+    store = _stored(spark, folder)
+    src.change_store(spark, store, _partial_changes(spark, folder))
+    read = [src.read_store(spark, store, version=v).withColumn("version", F.lit(v)) for v in src.versions(spark, store)]
+    return _plain(read[0].unionByName(read[1]))
+
+
+def append_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without ids in two batches, each appended twice: how many records of each content there are."""
+    ledger = wh.sales_ledger(spark, folder)
+    store = src.Store(src.shared_folder(spark), SALES, ledger.schema["sales"].dataType)
+    lines = ledger.select("user_id", "date", F.lit("any").alias("product"), "sales", "category")
+    for batch in ("first", "second", "first", "second"):
+        src.append_batch(spark, store, lines, batch)
+    content = ["user_id", "date", "product", "sales", "category"]
+    rows = src.read_store(spark, store)
+    return _plain(rows.groupBy(*content).agg(F.count("*").alias("records"), F.count_distinct("id").alias("ids")))
+
+
+def store_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """A ledger appended in batches, whose files were merged."""
+    store = _stored(spark, folder, 3)
+    src.compact_store(spark, store)
+    return _plain(src.read_store(spark, store))
+
+
+def list_page_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Page 101 of every tenant's listing, by the index of a stored ledger."""
+    return _plain(src.list_page_indexed(spark, _stored(spark, folder), page=101, bucket_rows=500))
+
+
 def business_summary(spark: SparkSession, folder: str) -> DataFrame:
     return plans.flatten_summary(_summary(spark, folder), SALES, EXPENSES)
 
@@ -423,7 +464,7 @@ def all_queries() -> dict[str, Query]:
     for query in (
         profit, global_kpis, ledger_listing_headings, csv_ingest, csv_scan, decode_uploads, validate_entries,
         validate_edits, append_rows, clear_tenant, apply_updates, apply_deletes, apply_changes,
-        apply_changes_partial, store_changes, csv_mixed_layouts, csv_quarantine,
+        apply_changes_partial, store_changes, store_snapshots, append_twice, store_compacted, list_page_indexed, csv_mixed_layouts, csv_quarantine,
         business_summary, summary_json, insight_prompts, parse_replies,
     ):
         out[query.__name__] = query

@@ -75,8 +75,10 @@ def store_changes(
 
     Only months that hold a changed record before or after are read and rewritten; their list, one
     entry per calendar month, is all that comes to the driver. The new rows are written to the shared
-    folder first and then replace those months. Should the job stop in between, run it again: the same
-    changes lead to the same rows, and a record found in two months at that point is kept once.
+    folder first and then replace those months, one after another: this is not one step. A job that stops
+    before the replacement may be run again; one that stops within it can leave a month incomplete, and
+    readers may see some months changed and others not. Where that matters, keep the ledger in a store of
+    versions and use :func:`change_store`.
     """
     schema = ledger_schema(spec, amount).add(MONTH, T.StringType())
     stored = spark.read.schema(schema).parquet(path)
