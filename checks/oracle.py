@@ -504,6 +504,11 @@ SELECT CASE WHEN l_odd THEN 'a' ELSE 'b' END || '.csv' AS file, user_id, day AS
        coalesce(category, '') AS category
 FROM (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 2 = 1 AS l_odd FROM flagged)
 WHERE reject_reason IS NULL"""
+    long = """CASE WHEN CAST(split_part(id, '-', 5) AS INTEGER) BETWEEN 10 AND 40
+            THEN product || chr(10) || '"b", c' || chr(13) || chr(10) || chr(10) || product ELSE product END"""
+    out["csv_multiline_split"] = f"""WITH {flagged}
+SELECT user_id, day AS date, {long} AS product, num AS sales, coalesce(category, '') AS category
+FROM flagged WHERE reject_reason IS NULL"""
     out["csv_quarantine"] = f"""WITH {flagged}, q AS (
   SELECT user_id, reject_reason FROM flagged WHERE reject_reason IS NOT NULL
   UNION ALL SELECT user_id, reason FROM (SELECT DISTINCT user_id FROM raw),

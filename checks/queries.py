@@ -248,6 +248,17 @@ def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return quarantine.groupBy("user_id", "reject_reason").agg(F.count("*").alias("n"))
 
 
+def csv_multiline_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted rows of CSV files, one per tenant, in which many products hold line breaks and quotes."""
+    path = src.shared_folder(spark)
+    raw = wh.raw_sales(spark, folder)
+    quantity = F.split_part("id", F.lit("-"), F.lit(5)).cast("int")
+    long = F.concat(F.col("product"), F.lit('\n"b", c\r\n\n'), F.col("product"))
+    raw = raw.withColumn("product", F.when(quantity.between(10, 40), long).otherwise(F.col("product")))
+    raw.drop("id").repartition("user_id").write.partitionBy("user_id").csv(path, **CSV)
+    return ops.ingest_upload(src.read_csv_uploads(spark, path, SALES, multiline=True), SALES)[0]
+
+
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Raw sales written as CSV files, one folder per tenant, and read back as uploads."""
     path = src.shared_folder(spark)
@@ -464,7 +475,7 @@ def all_queries() -> dict[str, Query]:
     for query in (
         profit, global_kpis, ledger_listing_headings, csv_ingest, csv_scan, decode_uploads, validate_entries,
         validate_edits, append_rows, clear_tenant, apply_updates, apply_deletes, apply_changes,
-        apply_changes_partial, store_changes, store_snapshots, append_twice, store_compacted, list_page_indexed, csv_mixed_layouts, csv_quarantine,
+        apply_changes_partial, store_changes, store_snapshots, append_twice, store_compacted, list_page_indexed, csv_multiline_split, csv_mixed_layouts, csv_quarantine,
         business_summary, summary_json, insight_prompts, parse_replies,
     ):
         out[query.__name__] = query

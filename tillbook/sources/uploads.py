@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from tillbook.operators.ingest import csv_fields, parse_csv_lines, with_layout
 from tillbook.operators.ranking import join_by_key
+from tillbook.shared import write_and_read
+from tillbook.sources.records import filled, quoted_records, records_of
 from tillbook.spec import TENANT, LedgerSpec
 
 CSV_GLOB = "*.[cC][sS][vV]"
-_RECORD = "\u001e"
 _CORRUPT = "_corrupt_record"
 
 
@@ -21,35 +22,11 @@ def _repair(text: Column) -> Column:
     return F.ltrim(valid, F.lit("\ufeff"))
 
 
-def _line_feeds(text: Column, feed: str = "\n") -> Column:
-    """Every kind of line break as ``feed``."""
-    for found in ("\r\n", "\r", "\n"):
-        text = text if found == feed else F.replace(text, F.lit(found), F.lit(feed))
-    return text
-
-
-def _filled(line: Column) -> Column:
-    """Not an empty or blank line."""
-    return line.rlike(r"[^ \t\r\n]")
-
-
 def _decoded(text: Column) -> Column:
     """Text with its percent escapes resolved; a plus sign stays one."""
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def _records(text: Column, multiline: bool) -> Column:
-    """Filled records of a file's text. With ``multiline`` line breaks inside quotes belong to a field."""
-    if not multiline:
-        return F.filter(F.split(_line_feeds(text), "\n"), _filled)
-    # Pieces at even places lie outside quotes: only their line breaks end a record.
-    pieces = F.transform(
-        F.split(text, '"'),
-        lambda piece, i: F.when(i % 2 == 0, _line_feeds(piece, _RECORD)).otherwise(piece),
-    )
-    return F.filter(F.split(F.array_join(pieces, '"'), _RECORD), _filled)
-
-
 def read_csv_ledger(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV files that share one header, all columns as text, and ``reject_reason``: ``too_many_fields``
     where a row is wider than the header. Files whose header differs make the read fail; read those with
@@ -78,28 +55,31 @@ def read_csv_uploads(
     The tenant is ``tenant``, or comes from a ``user_id=...`` folder on the path (null without one).
     Every file's first filled line is its header. Files stay splittable: headers are found in one pass
     over the lines and looked up by file in a second, so no list of files passes through the driver.
-    ``multiline`` allows line breaks inside quotes; a file is then one row and one task.
+    ``multiline`` allows line breaks inside quotes; the parts of a file are still read by many tasks (see
+    :func:`quoted_records`), and the records are written once.
 
     Every line but the headers gives a row. ``reject_reason`` tells those of the parsing step,
-    ``unclosed_quote`` (an odd number of quotes in a line) and ``repeated_header``. A file that gives
+    ``unclosed_quote`` (an odd number of quotes in a line, or with ``multiline`` a record beyond its limit) and ``repeated_header``. A file that gives
     no lines is one row: ``unsupported_file`` if it is not named as CSV, ``no_rows`` if it holds a
     header at most. Files of zero bytes are invisible to Spark's readers and give nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.select(F.col("_metadata.file_path").alias("file"))
     source = spark.read.option("recursiveFileLookup", True)
-    text = source.text(path, wholetext=multiline, pathGlobFilter=CSV_GLOB).select(
+    feeds = {"lineSep": "\n"} if multiline else {}
+    text = source.text(path, pathGlobFilter=CSV_GLOB, **feeds).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
         _repair(F.col("value")).alias("line"),
     )
     if multiline:
-        listed = text.select("file", _records(F.col("line"), True).alias("_lines"))
-        heads = listed.select("file", F.get("_lines", F.lit(0)).alias("_head"), F.size("_lines").alias("_n"))
-        lines = listed.select("file", F.posexplode("_lines").alias("_at", "line")).withColumn("_first", F.col("_at") == 0)
-        heads = heads.withColumn("_top", F.lit(0))
+        numbered = text.select("file", F.col("_start").alias("start"), F.monotonically_increasing_id().alias("at"), "line")
+        lines = write_and_read(quoted_records(numbered)).withColumnRenamed("place", "_at")
+        heads = lines.groupBy("file").agg(
+            F.min_by("line", "_at").alias("_head"), F.min("_at").alias("_top"), F.count("*").alias("_n")
+        )
     else:
-        lines = text.filter(_filled(F.col("line"))).withColumn("_at", F.monotonically_increasing_id())
+        lines = text.filter(filled(F.col("line"))).withColumn("_at", F.monotonically_increasing_id())
         at_top = F.when(F.col("_start") == 0, F.col("_at"))
         heads = lines.groupBy("file").agg(
             F.min_by("line", at_top).alias("_head"), F.min(at_top).alias("_top"), F.count("*").alias("_n")
@@ -110,8 +90,7 @@ def read_csv_uploads(
     body = body.filter(F.col("_at") != F.col("_top"))
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     reason = F.when(F.col("line") == F.col("_head"), "repeated_header")
-    if not multiline:
-        reason = reason.when(quotes % 2 == 1, "unclosed_quote")
+    reason = reason.when(~F.col("whole") if multiline else quotes % 2 == 1, "unclosed_quote")
     rows = body.select("file", "layout", "line", reason.alias("reject_reason"))
 
     is_csv = F.lower("file").endswith(".csv")
@@ -144,7 +123,7 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
             F.coalesce(is_csv, F.lit(False)).alias("_csv"),
             F.when(is_csv, _repair(payload.cast("string"))).alias("_text"),
         )
-        .withColumn("_lines", _records(F.col("_text"), multiline))
+        .withColumn("_lines", records_of(F.col("_text"), multiline))
     )
     reason = (
         F.when(~F.col("_named"), "no_file")
