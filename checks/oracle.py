@@ -504,6 +504,32 @@ SELECT CASE WHEN l_odd THEN 'a' ELSE 'b' END || '.csv' AS file, user_id, day AS
        coalesce(category, '') AS category
 FROM (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 2 = 1 AS l_odd FROM flagged)
 WHERE reject_reason IS NULL"""
+    spans = f"""{SALES_LEDGER}, begun AS (
+  SELECT k, DATE '1991-11-20' + CAST(k * 97 AS INTEGER) AS b FROM range(25) r(k)),
+spans AS (
+  SELECT 't' || n.n_nationkey AS user_id, CAST(k AS BIGINT) AS window_, CASE WHEN k % 5 <> 0 THEN CAST(b AS DATE) END AS start_,
+         CASE WHEN k % 7 <> 0 THEN CAST(b + CAST(k * k * 3 AS INTEGER) AS DATE) END AS end_
+  FROM nation n, begun)"""
+    figures = """CAST(coalesce(sum(sales), 0) AS DOUBLE) AS total, round_even(CAST(sum(sales) AS DOUBLE) / count(sales), 6) AS average"""
+    out["kpis_windows"] = f"""WITH {spans}
+SELECT s.user_id, window_ AS "window", start_ AS start, end_ AS "end", {figures}, count(sales) AS records
+FROM spans s LEFT JOIN ledger l ON l.user_id = s.user_id AND l.date >= coalesce(start_, DATE '0001-01-01')
+  AND l.date <= coalesce(end_, DATE '9999-12-31') GROUP BY ALL"""
+    out["kpis_from_bitmaps"] = f"""WITH {spans}
+SELECT s.user_id, window_ AS "window", start_ AS "first", end_ AS "last", {figures},
+       count(DISTINCT product) AS parties, count(*) AS records
+FROM spans s JOIN ledger l ON l.user_id = s.user_id AND l.date >= date_trunc('month', start_)
+  AND l.date <= last_day(end_) GROUP BY ALL"""
+    out["ingest_file_dates"] = f"""WITH {SALES_LEDGER}
+SELECT user_id, CASE WHEN CAST(substr(user_id, 2) AS INTEGER) % 3 < 2 THEN date
+                     ELSE make_date(year(date), day(date), month(date)) END AS date,
+       product, CAST(sales AS DOUBLE) AS sales, category
+FROM ledger WHERE CAST(substr(user_id, 2) AS INTEGER) % 3 < 2 OR date IS NULL OR day(date) <= 12"""
+    changed = CHANGE_SQL["apply_changes_partial"].removeprefix(f"WITH {SALES_LINES}")
+    final = f"""{SALES_LINES}, changed AS ({changed}), ledger AS (
+  SELECT user_id, id, date, product, CAST(sales AS DECIMAL(18,2)) AS sales, category FROM changed WHERE user_id <> 't7'
+  UNION ALL SELECT user_id, id, date, product, sales, category FROM sold WHERE user_id = 't7' AND q = 1)"""
+    out["cube_refreshed"] = out["ledger_cube"].replace(SALES_LEDGER, final)
     long = """CASE WHEN CAST(split_part(id, '-', 5) AS INTEGER) BETWEEN 10 AND 40
             THEN product || chr(10) || '"b", c' || chr(13) || chr(10) || chr(10) || product ELSE product END"""
     out["csv_multiline_split"] = f"""WITH {flagged}

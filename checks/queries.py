@@ -413,6 +413,59 @@ def list_page_indexed(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(src.list_page_indexed(spark, _stored(spark, folder), page=101, bucket_rows=500))
 
 
+def cube_refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored ledger's cube, brought up to date after each of three changes from the changed files alone."""
+    store = _stored(spark, folder)
+    cube = src.write_and_read(plans.ledger_cube(src.read_store(spark, store), SALES))
+    again = wh.sales_ledger(spark, folder).filter("user_id = 't7' and split_part(id, '-', 5) = '1'")
+    for change in (
+        lambda: src.change_store(spark, store, _partial_changes(spark, folder)),
+        lambda: src.clear_store(spark, store, ["t7"]),
+        lambda: src.append_batch(spark, store, again, "again"),
+    ):
+        old = src.versions(spark, store)[-1]
+        removed, added = src.version_changes(spark, store, old, change().number)
+        cube = src.write_and_read(plans.refresh_cube(cube, removed, added, SALES))
+    return _plain(cube)
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of days and months for every tenant: open at either end for some."""
+    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    tenant = F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("user_id")
+    spans = nation.select(tenant, F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"))
+    begin = F.date_add(F.lit("1991-11-20").cast("date"), F.col("k") * 97)
+    return spans.select(
+        "user_id", F.col("k").cast("bigint").alias("window"), F.when(F.col("k") % 5 != 0, begin).alias("start"),
+        F.when(F.col("k") % 7 != 0, F.date_add(begin, F.col("k") * F.col("k") * 3)).alias("end"),
+    )
+
+
+def kpis_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals and records of 25 windows for each tenant, from running totals."""
+    running = src.write_and_read(plans.running_totals(_clean(wh.sales_ledger, SALES, spark, folder), SALES))
+    return _plain(_rounded(plans.kpis_windows(running, _spans(spark, folder)), average=6))
+
+
+def kpis_from_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of 25 spans of months for each tenant, distinct products among them, from bitmaps."""
+    ledger = _clean(wh.sales_ledger, SALES, spark, folder)
+    numbers = plans.party_numbers(ledger, SALES)
+    bitmaps = src.write_and_read(plans.party_bitmaps(ledger, numbers, SALES))
+    spans = _spans(spark, folder).filter("start is not null and end is not null")
+    out = plans.kpis_from_bitmaps(bitmaps, spans.withColumnsRenamed({"start": "first", "end": "last"}))
+    return _plain(_rounded(out, average=6))
+
+
+def ingest_file_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per tenant, written day first, month first, or day first with days that leave it open."""
+    kind = F.substring("user_id", 2, 9).cast("int") % 3
+    lines = wh.sales_ledger(spark, folder).filter((kind < 2) | (F.dayofmonth("date") <= 12) | F.col("date").isNull())
+    text = F.when(kind == 1, F.date_format("date", "M/d/yyyy")).otherwise(F.date_format("date", "d/M/yyyy"))
+    lines = lines.withColumns({"date": text, "sales": F.col("sales").cast("string"), "file": F.concat("user_id", F.lit(".csv"))})
+    return ops.ingest_upload(lines.drop("id"), SALES, files=["user_id", "file"])[0]
+
+
 def business_summary(spark: SparkSession, folder: str) -> DataFrame:
     return plans.flatten_summary(_summary(spark, folder), SALES, EXPENSES)
 
@@ -475,7 +528,8 @@ def all_queries() -> dict[str, Query]:
     for query in (
         profit, global_kpis, ledger_listing_headings, csv_ingest, csv_scan, decode_uploads, validate_entries,
         validate_edits, append_rows, clear_tenant, apply_updates, apply_deletes, apply_changes,
-        apply_changes_partial, store_changes, store_snapshots, append_twice, store_compacted, list_page_indexed, csv_multiline_split, csv_mixed_layouts, csv_quarantine,
+        apply_changes_partial, store_changes, store_snapshots, append_twice, store_compacted, list_page_indexed, cube_refreshed, kpis_windows,
+        kpis_from_bitmaps, ingest_file_dates, csv_multiline_split, csv_mixed_layouts, csv_quarantine,
         business_summary, summary_json, insight_prompts, parse_replies,
     ):
         out[query.__name__] = query

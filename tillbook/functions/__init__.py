@@ -5,7 +5,9 @@ from tillbook.functions.parse import (
     CSV_NA_TOKENS,
     DATE_FORMATS,
     clean_header,
+    day_first_vote,
     has_text,
+    month_first,
     null_if_na,
     strip_ws,
     to_amount,
@@ -16,8 +18,10 @@ __all__ = [
     "CSV_NA_TOKENS",
     "DATE_FORMATS",
     "clean_header",
+    "day_first_vote",
     "format_currency",
     "has_text",
+    "month_first",
     "null_if_na",
     "one_decimal",
     "progress_text",

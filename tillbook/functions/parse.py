@@ -133,6 +133,24 @@ def _shape(date_format: str) -> str:
     return f"^{''.join(out)}$"
 
 
+#: Two small numbers and a year, which may be read month first or day first.
+_PAIR = r"^\s*([0-9]{1,2})([/-])([0-9]{1,2})\2((?:[0-9]{4}|[0-9]{2})(?![0-9]).*)$"
+
+
+def day_first_vote(c: Column) -> Column:
+    """1 for a date text that can only be read day first, -1 for one that can only be read month first, 0
+    for one that can be read both ways, null for all others."""
+    first, second = (F.regexp_extract(c, _PAIR, k).try_cast("int") for k in (1, 3))
+    day, month = F.lit(1), F.lit(12)
+    readable = first.between(day, F.lit(31)) & second.between(day, F.lit(31)) & (F.least(first, second) <= month)
+    return F.when(readable, (first > month).cast("int") - (second > month).cast("int"))
+
+
+def month_first(c: Column) -> Column:
+    """A day-first date text that could be read both ways, with its first two numbers exchanged."""
+    return F.when(day_first_vote(c) == 0, F.regexp_replace(c, _PAIR, "$3$2$1$2$4")).otherwise(c)
+
+
 def to_day(c: Column, kind: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Date of a DATE, timestamp or text column; text is tried against each format in turn."""
     if isinstance(kind, T.DateType):

@@ -12,13 +12,16 @@ from tillbook.functions import (
     CSV_NA_TOKENS,
     DATE_FORMATS,
     clean_header,
+    day_first_vote,
     has_text,
+    month_first,
     null_if_na,
     strip_ws,
     to_amount,
     to_day,
 )
 from tillbook.operators.clean import conform, normalize_columns
+from tillbook.operators.ranking import join_by_key
 from tillbook.spec import TENANT, LedgerSpec
 
 # One CSV field after a comma: quoted with doubled quotes inside, or anything up to the next comma.
@@ -96,15 +99,40 @@ def parse_csv_lines(lines: DataFrame, spec: LedgerSpec) -> DataFrame:
     )
 
 
+def date_orders(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per file, whether its dates are written day first: ``by`` and ``day_first``.
+
+    Every date that can be read one way only votes for it, ``13/04/2024`` for day first and ``04/13/2024``
+    for month first. The majority decides; a file without such dates, or with as many of both, is read
+    month first. Votes are counted in every task before the shuffle, and the result has one row per file.
+    """
+    votes = df.select(*by, day_first_vote(F.col("date").cast("string")).alias("_vote"))
+    return votes.groupBy(*by).agg((F.coalesce(F.sum("_vote"), F.lit(0)) > 0).alias("day_first"))
+
+
+def with_date_orders(df: DataFrame, by: Sequence[str], to: str = "date") -> DataFrame:
+    """``df`` with ``to``, the dates of day-first files written month first where they could be read both ways."""
+    keys = [f"_by{i}" for i in range(len(by))]
+    # A null file or tenant is one of its own.
+    named = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(keys, by)})
+    judged = join_by_key(named, date_orders(named, keys), keys, ["date"])
+    moved = F.when(F.col("day_first"), month_first(F.col("date"))).otherwise(F.col("date"))
+    return judged.withColumn(to, moved).drop(*keys, "day_first")
+
+
 def flag_upload(
     df: DataFrame,
     spec: LedgerSpec,
     na_tokens: Sequence[str] = CSV_NA_TOKENS,
     date_formats: Sequence[str] = DATE_FORMATS,
     amount: T.DataType | None = None,
+    files: Sequence[str] = (),
 ) -> DataFrame:
     """Upload rows as text plus typed ``_date`` and ``_amount`` and a ``reject_reason``.
 
+    ``files`` names the columns that tell files apart (such as tenant and ``file``); the order of day and
+    month is then decided once for each file (see :func:`date_orders`), else date by date.
+
     Reasons: those of the parsing step, ``missing_tenant``, ``empty_row``, ``missing_amount``, ``bad_amount`` and
     ``missing_party``. A date that cannot be read becomes null and does not reject the row.
     """
@@ -113,10 +141,11 @@ def flag_upload(
     extra = [c for c in ("file", "reject_reason") if c in df.columns]
     table = settled(conform(df, [*columns, *extra]))
     table = table.withColumns({c: null_if_na(F.col(c).cast("string"), na_tokens) for c in columns})
+    table = with_date_orders(table, files, "_date") if files else table.withColumn("_date", F.col("date"))
     text = T.StringType()
     typed = table.withColumns(
         {
-            "_date": to_day(F.col("date"), text, date_formats),
+            "_date": to_day(F.col("_date"), text, date_formats),
             "_amount": to_amount(F.col(spec.amount), text, amount),
         }
     )

@@ -48,6 +48,26 @@ def ledger_cube(ledger: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY) ->
     )
 
 
+def refresh_cube(
+    cube: DataFrame, removed: DataFrame, added: DataFrame, spec: LedgerSpec, by: Sequence[str] = BY
+) -> DataFrame:
+    """The cube of a changed ledger from the cube before and the rows that were removed and added (see
+    :func:`tillbook.sources.version_changes`); the other rows are not read.
+
+    Sums and counts take signed additions, so that rows in both sets cancel out; a group without records
+    left is dropped. Groups that no changed row belongs to pass by unchanged.
+    """
+    minus = removed.withColumns({spec.amount: -F.col(spec.amount), "records": F.lit(-1).cast("bigint")})
+    plus = added.withColumn("records", F.lit(1).cast("bigint"))
+    delta = ledger_cube(minus.unionByName(plus), spec, by)
+    keys = [*by, "grain", "date", spec.party, "category"]
+    kinds = {f.name: f.dataType for f in cube.schema.fields}
+    merged = cube.unionByName(delta.select(*cube.columns)).groupBy(*keys).agg(
+        F.sum(spec.amount).cast(kinds[spec.amount]).alias(spec.amount), F.sum("records").cast("bigint").alias("records")
+    )
+    return merged.filter("records > 0").select(*cube.columns)
+
+
 def cube_grain(cube: DataFrame, grain: str) -> DataFrame:
     """One grain of the cube as a pre-aggregated ledger."""
     return cube.filter(F.col("grain") == grain).drop("grain")

@@ -9,6 +9,7 @@ from tillbook.sources.snapshots import (
     clear_store,
     compact_store,
     read_store,
+    version_changes,
     versions,
 )
 from tillbook.sources.tables import scan_ledger, store_changes, write_json, write_ledger
@@ -29,6 +30,7 @@ __all__ = [
     "scan_ledger",
     "shared_folder",
     "store_changes",
+    "version_changes",
     "versions",
     "write_and_read",
     "write_json",

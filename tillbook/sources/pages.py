@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators.clean import listing_columns
 from tillbook.shared import write_and_read
-from tillbook.sources.snapshots import Store, Version, files_of, names_in, read_store, rename_new, version_of
+from tillbook.sources.snapshots import Store, names_in, read_store, rename_new, version_changes, version_of
 from tillbook.spec import BY, TENANT
 
 #: Rows of a bucket.
@@ -57,16 +57,6 @@ def _index_path(store: Store, number: int) -> str:
     return f"{store.path}/pages/{number:020d}"
 
 
-def changed_tenants(spark: SparkSession, store: Store, old: Version, new: Version) -> DataFrame:
-    """Tenants with rows in files that only one of two versions has; all others have equal rows."""
-    before, after = files_of(spark, store, old), files_of(spark, store, new)
-    only = before.join(after, "file", "left_anti").union(after.join(before, "file", "left_anti"))
-    names = [f"{store.path}/{r['file']}" for r in only.select("file").collect()]
-    if not names:
-        return spark.createDataFrame([], f"{TENANT} string")
-    return spark.read.schema(store.schema).parquet(*names).select(TENANT).distinct()
-
-
 def page_index(spark: SparkSession, store: Store, number: int | None = None, size: int = BUCKET_ROWS) -> DataFrame:
     """The index of a version, stored beside it when it is first asked for.
 
@@ -83,7 +73,9 @@ def page_index(spark: SparkSession, store: Store, number: int | None = None, siz
         if earlier is None:
             index = _buckets(read_store(spark, store, version=version.number), size)
         else:
-            changed = write_and_read(changed_tenants(spark, store, version_of(spark, store, earlier), version))
+            # Tenants without rows in files that only one of the versions has did not change.
+            removed, added = version_changes(spark, store, earlier, version.number)
+            changed = write_and_read(removed.select(TENANT).union(added.select(TENANT)).distinct())
             kept = spark.read.schema(INDEX).parquet(_index_path(store, earlier)).join(changed, TENANT, "left_anti")
             rows = read_store(spark, store, changed, version=version.number)
             index = kept.unionByName(_buckets(rows, size))
@@ -113,10 +105,9 @@ def list_page_indexed(
     first, last = (page - 1) * size + 1, page * size
     index = page_index(spark, store, number, bucket_rows)
     wanted = index.filter((F.col("before") < last) & (F.col("before") + F.col("n") >= first))
-    number = number or (version_of(spark, store) or Version(0, "", "", "")).number
-    if not number:
-        rows = spark.createDataFrame([], store.schema)
-    elif tenants is None:
+    version = version_of(spark, store, number)
+    number = version.number if version else None
+    if tenants is None or version is None:
         rows = read_store(spark, store, version=number)
     else:
         listed = list(tenants)

@@ -215,6 +215,15 @@ def _may_hold(tenants: Iterable[str] | None, start: Day, end: Day) -> Column:
     return keep
 
 
+def version_changes(spark: SparkSession, store: Store, old: int, new: int) -> tuple[DataFrame, DataFrame]:
+    """``(removed, added)``: the rows of files that only the old version has, and of files that only the new one
+    has. Rows that were only moved to another file are in both; files that both versions have are not read.
+    """
+    before, after = (files_of(spark, store, version_of(spark, store, n)) for n in (old, new))
+    removed, added = before.join(after, "file", "left_anti"), after.join(before, "file", "left_anti")
+    return _rows(spark, store, removed), _rows(spark, store, added)
+
+
 # --- reading and writing -------------------------------------------------------------------------
 
 
