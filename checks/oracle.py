@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from checks.queries import END, START
-from tillbook.plans.insights import PROMPT_HEAD, PROMPT_TAIL
+# The two years of the filtered queries.
+START, END = "1997-01-01", "1998-12-31"
+
+# The text around the data of a prompt.
+PROMPT_HEAD = (
+    "You are a business analyst. Analyse this Ghana-based business data (GHS amounts) "
+    "and give brief insights.\n\nDATA:\n"
+)
+PROMPT_TAIL = (
+    "\n\nReply ONLY with this JSON — no markdown, no extra text, keep each value under 100 words:\n"
+    '{"summary":"1-2 sentences on business health","strengths":"2-3 bullet points using •",'
+    '"risks":"2-3 bullet points using •","recommendations":"3 numbered recommendations",'
+    '"forecast":"1-2 sentences on outlook"}'
+)
 
 LINES = """lines AS (
   SELECT l.*, o.o_orderdate, c_nationkey, 't' || c.c_nationkey AS user_id,
@@ -497,7 +509,7 @@ def all_sql() -> dict[str, str]:
     twins |= upload_sql(RAW_EXPENSES, "vendor", "amount")
     out |= {n if n in ("budget_progress", "global_budget") else f"expense_{n}": q for n, q in twins.items()}
     out |= CHANGE_SQL | CHECK_SQL
-    out |= {"csv_ingest": out["ingest_upload"], "list_page_indexed": out["list_page_deep"]}
+    out |= {"csv_ingest": out["ingest_upload"], "decode_large_uploads": out["ingest_upload"], "list_page_indexed": out["list_page_deep"]}
     flagged = _flagged(RAW_SALES, "product", "sales")
     out["csv_mixed_layouts"] = f"""WITH {flagged}
 SELECT CASE WHEN l_odd THEN 'a' ELSE 'b' END || '.csv' AS file, user_id, day AS date, product, num AS sales,

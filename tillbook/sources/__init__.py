@@ -1,6 +1,7 @@
 """Ledger tables, uploaded files and the shared folder."""
 
 from tillbook.shared import shared_folder, write_and_read
+from tillbook.sources.envelopes import decode_large_uploads
 from tillbook.sources.pages import list_page_indexed, page_index
 from tillbook.sources.snapshots import (
     Store,
@@ -21,6 +22,7 @@ __all__ = [
     "change_store",
     "clear_store",
     "compact_store",
+    "decode_large_uploads",
     "decode_uploads",
     "list_page_indexed",
     "page_index",

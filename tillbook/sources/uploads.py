@@ -16,7 +16,7 @@ CSV_GLOB = "*.[cC][sS][vV]"
 _CORRUPT = "_corrupt_record"
 
 
-def _repair(text: Column) -> Column:
+def repair(text: Column) -> Column:
     """Text without the bytes that are not UTF-8 and without a leading byte order mark."""
     valid = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
     return F.ltrim(valid, F.lit("\ufeff"))
@@ -70,7 +70,7 @@ def read_csv_uploads(
     text = source.text(path, pathGlobFilter=CSV_GLOB, **feeds).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        _repair(F.col("value")).alias("line"),
+        repair(F.col("value")).alias("line"),
     )
     if multiline:
         numbered = text.select("file", F.col("_start").alias("start"), F.monotonically_increasing_id().alias("at"), "line")
@@ -108,7 +108,8 @@ def read_csv_uploads(
 def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False) -> DataFrame:
     """Rows of a table of envelopes ``(user_id, filename, contents)`` as text columns of the ledger.
 
-    ``contents`` is ``data:<type>;base64,<payload>``. A file that cannot be used gives one row whose
+    ``contents`` is ``data:<type>;base64,<payload>``, of a size that suits one row; for larger ones see
+    :func:`decode_large_uploads`. A file that cannot be used gives one row whose
     ``reject_reason`` is ``no_file``, ``unsupported_file``, ``bad_encoding`` or ``no_rows``. ``multiline`` allows
     line breaks inside quotes; it then takes every quote for a text delimiter.
     """
@@ -121,7 +122,7 @@ def decode_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool = False
             F.col("filename").alias("file"),
             named.alias("_named"),
             F.coalesce(is_csv, F.lit(False)).alias("_csv"),
-            F.when(is_csv, _repair(payload.cast("string"))).alias("_text"),
+            F.when(is_csv, repair(payload.cast("string"))).alias("_text"),
         )
         .withColumn("_lines", records_of(F.col("_text"), multiline))
     )
