@@ -286,15 +286,18 @@ def decode_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_large_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """One envelope per tenant with all its raw sales, decoded in chunks; the good rows."""
+    """Envelopes with a tenant's raw sales of a thousand order numbers each, decoded in chunks; the good rows."""
     columns = ["date", "product", "sales", "category"]
     raw = wh.raw_sales(spark, folder)
-    whole = _csv_lines(raw, columns).groupBy("user_id").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+    thousand = F.floor(F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint") / 1000).alias("thousand")
+    lines = _csv_lines(raw.withColumn("user_id", F.struct("user_id", thousand)), columns)
+    whole = lines.groupBy("user_id").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
     payload = F.base64(F.encode(F.concat(F.lit(",".join(columns) + "\n"), F.col("body")), "UTF-8"))
     packed = whole.select(
-        "user_id", F.concat("user_id", F.lit(".csv")).alias("filename"), F.concat(F.lit("data:text/csv;base64,"), payload).alias("contents")
+        "user_id.user_id", F.concat("user_id.thousand", F.lit(".csv")).alias("filename"),
+        F.concat(F.lit("data:text/csv;base64,"), payload).alias("contents"),
     )
-    return ops.ingest_upload(src.decode_large_uploads(packed, SALES, chunk=1 << 14), SALES)[0]
+    return ops.ingest_upload(src.decode_large_uploads(packed, SALES, chunk=1 << 10), SALES)[0]
 
 
 def validate_entries(spark: SparkSession, folder: str) -> DataFrame:
