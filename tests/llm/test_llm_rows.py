@@ -297,3 +297,47 @@ def test_real_licence_texts(spark):
     out = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
     for i, (names, ids) in enumerate(texts.values()):
         assert out[i]["licenses"] == names and ids in (None, out[i]["sentences"]), (i, out[i])
+
+
+LOST = {
+    "sample_key=tZ8qL0vR3xW7nB5mK2pJ9dF4": (11, 35),
+    "see /examples/hook/tZ8qL0vR3xW7nB5mK2pJ9dF4 there": (19, 43),
+    "the key tZqLvRxWnBmKpJdFgHsQyCaE": (8, 32),
+    "key=QWRKZPLM4TXVNBHJ7CDGFSY": (4, 27),
+    "International/BusinessMachines/CorporationLimited and CounterRevolutionaryIsm": None,
+    "a/sample/of/" + "abc" * 12: None,
+}
+
+
+def test_values_beside_suppressed_names(spark):
+    """The value of an assignment or path is found though a name beside it is on the allow-list."""
+    rows = documents(spark, list(enumerate(LOST)))
+    found = secrets.scan_secrets(rows).select("doc_id", secrets.ENTROPY).collect()
+    for doc_id, hits in found:
+        text, span = list(LOST.items())[doc_id]
+        assert any(h["start"] <= span[0] + 4 and h["end"] >= span[1] - 4 for h in hits) if span else not hits, (text, hits)
+        for h in hits:
+            assert text[h["start"] : h["end"]] == h["value"]
+
+
+def test_many_and_long_candidates(spark):
+    """Time grows with the text: very many hits, and one very long run."""
+    import math
+    import time
+
+    pick = random.Random(6)
+    key = lambda n, alphabet: "".join(pick.choice(alphabet) for _ in range(n))
+    words = [key(32, "0123456789abcdef") for _ in range(2000)]
+    run = key(200_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    small = documents(spark, [(0, " ".join(words[:10]))])
+    secrets.scan_secrets(small).collect()  # warm
+    bits = lambda w: -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
+    high = {i for i, w in enumerate(words) if any(bits(w[k : k + 20]) >= 3 for k in range(13))}
+    for text, every, want in ((" ".join(words), 33, high), (run, len(run), {0})):
+        start = time.perf_counter()
+        out = secrets.scan_secrets(documents(spark, [(0, text)])).first()
+        assert time.perf_counter() - start < 10
+        assert {h["start"] // every for h in out[secrets.ENTROPY]} == want
+        for hits in (out[secrets.ENTROPY], out["hex"]):
+            assert all(text[h["start"] : h["end"]] == h["value"] for h in hits)
+    assert [h["start"] for h in secrets.scan_secrets(documents(spark, [(0, " ".join(words))])).first()["hex"]] == [33 * i for i in range(2000)]
