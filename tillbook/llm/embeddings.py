@@ -2,7 +2,7 @@
 
 A projection of a unit vector to blocks of eight numbers is decoded, block by block, to the nearest
 point of the lattice E8; the points name the vector's cell. Close vectors share cells or lie in
-neighbouring ones, which are probed too. Vectors that cells bring together are compared exactly.
+neighbouring ones, which are probed too. Vectors in one cell are compared exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tillbook.llm.common import components, deal_blocks, least_linked
 from tillbook.llm.shingles import mixed
 from tillbook.sources import write_and_read
 
-#: Vectors are compared in blocks of about so many.
-BLOCK = 128
+#: Vectors are compared in blocks of about so many, and cells of at most so many are packed together.
+BLOCK, PACKED = 128, 32
 
 
 def nearest_e8(y: np.ndarray) -> np.ndarray:
@@ -131,12 +131,46 @@ def _hashed(rows: DataFrame, hashing: LatticeHash) -> DataFrame:
     return rows.mapInPandas(run, "number bigint, f bigint, cells array<bigint>")
 
 
+def first_shared(left: np.ndarray, right: np.ndarray, at: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Which pairs of rows of sorted cells (padded with the largest number) share no cell before ``at``."""
+    out = np.ones(len(at), bool)
+    step = max(1, most // (left.shape[1] * right.shape[1] or 1))
+    for k in range(0, len(at), step):
+        a, b, c = left[k : k + step], right[k : k + step], at[k : k + step]
+        shared = (a[:, :, None] == b[:, None, :]) & (a < c[:, None])[:, :, None]
+        out[k : k + step] = ~shared.any((1, 2))
+    return out
+
+
+def _padded(cells: pd.Series) -> np.ndarray:
+    """Sorted lists of cells as rows of one matrix."""
+    out = np.full((len(cells), max(map(len, cells))), np.iinfo(np.int64).max)
+    for i, row in enumerate(cells):
+        out[i, : len(row)] = row
+    return out
+
+
+def _units(vectors: pd.Series, width: int) -> np.ndarray:
+    """Unit vectors as rows; shorter ones, which are in other cells than longer ones, end in zeros."""
+    out = np.zeros((len(vectors), width))
+    for i, values in enumerate(vectors):
+        out[i, : len(values)] = unit_vector(values, 0)
+    return out
+
+
 def _compare(least: float):
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         a, b = left["number"].to_numpy(), right["number"].to_numpy()
-        u = np.stack([unit_vector(v, 0) for v in left["embedding"]])
-        v = np.stack([unit_vector(w, 0) for w in right["embedding"]])
-        linked = (u @ v.T >= least) & (a[:, None] != b[None, :])
+        cell, other = left["cell"].to_numpy(), right["cell"].to_numpy()
+        together = (cell[:, None] == other[None, :]) & (a[:, None] != b[None, :])
+        if not together.any():
+            return pd.DataFrame({"x": [], "y": [], "links": []})
+        width = max(map(len, pd.concat([left["embedding"], right["embedding"]])))
+        u, v = _units(left["embedding"], width), _units(right["embedding"], width)
+        linked = together & (u @ v.T >= least)
+        i, j = np.nonzero(linked)
+        mine = first_shared(_padded(left["cells"])[i], _padded(right["cells"])[j], cell[i])
+        linked[i[~mine], j[~mine]] = False
         x, y = least_linked(linked, a, b, same)
         counts = linked @ right["rows"].to_numpy()
         if not same:
@@ -148,6 +182,22 @@ def _compare(least: float):
     return kernel
 
 
+def _members(hashed: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(pack, cell, number, rows, cells, embedding)``: every class of equal vectors in each of its cells that
+    other classes are in as well. Small cells are packed together, as many of them are one comparison's worth."""
+    cells = hashed.select("f", F.explode("cells").alias("cell")).distinct()
+    cells = write_and_read(cells)
+    shared = cells.groupBy("cell").agg(F.count("*").alias("many")).filter("many > 1")
+    entries = write_and_read(cells.join(shared, "cell"))
+    total = entries.filter(F.col("many") <= PACKED).count()
+    pack = F.xxhash64(F.pmod(F.xxhash64("cell"), F.lit(max(1, total // BLOCK))))
+    pack = F.when(F.col("many") <= PACKED, pack).otherwise(F.xxhash64(F.lit("cell"), "cell"))
+    lists = entries.groupBy("f").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    full = lists.join(classes, "f").join(rows.select("number", "embedding"), "number")
+    placed = entries.select("f", "cell", pack.alias("pack")).join(full, "f")
+    return write_and_read(placed.select("pack", "cell", "number", "rows", "cells", "embedding"))
+
+
 def link_vectors(vectors: DataFrame, least: float = 0.98, hashing: LatticeHash | None = None) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` as ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -158,8 +208,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, hashing: LatticeHash |
     Labels of any type compare as in Spark.
     Rows with equal ids are separate vectors; ``kept`` marks those that carry their component's id.
 
-    Every row is indexed. Cells of any length are connected through their smallest member, and what
-    hangs together is compared in pairs of blocks, so one huge group is spread over many tasks.
+    Every row is indexed, and vectors are compared if they share a cell, not if others connect them. A pair
+    counts in the first cell it shares. Large cells are compared in pairs of blocks, so that one huge
+    group is spread over many tasks.
     """
     hashing = hashing or LatticeHash()
     rows = vectors.select("vec_id", "embedding", "label", F.monotonically_increasing_id().alias("number"))
@@ -168,15 +219,8 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, hashing: LatticeHash |
     labelled = rows.filter("label is not null").select("number", "embedding", F.xxhash64("label").alias("label"))
     hashed = write_and_read(_hashed(labelled, hashing))
     classes = write_and_read(hashed.groupBy("f").agg(F.min("number").alias("number"), F.count("*").alias("rows")))
-    cells = hashed.select("f", F.explode(F.array_distinct("cells")).alias("cell")).distinct()
-    cells = write_and_read(cells)
-    firsts = cells.groupBy("cell").agg(F.min("f").alias("y"), F.max("f").alias("_top")).filter("y < _top")
-    near = cells.join(firsts, "cell").filter("f <> y").select(F.col("f").alias("x"), "y").distinct()
-    rough = write_and_read(components(near))
-
-    members = classes.join(rough, F.col("f") == F.col("node")).select("root", "number", "rows")
-    members = write_and_read(members.join(rows.select("number", "embedding"), "number"))
-    compared = deal_blocks(members, "root", "number", BLOCK, _compare(least), "x bigint, y bigint, links bigint")
+    members = _members(hashed, classes, rows)
+    compared = deal_blocks(members, "pack", "number", BLOCK, _compare(least), "x bigint, y bigint, links bigint")
     compared = write_and_read(compared)
     found = write_and_read(components(compared.filter("x <> y").select("x", "y")))
     others = compared.groupBy("x").agg(F.sum("links").alias("links"))
