@@ -50,12 +50,14 @@ class Chain:
 
 
 def automaton_of(lexicon: list[str]):
-    """Finds entries of the lexicon; one that ends in ``*`` stands for all tokens that begin so."""
+    """Finds entries of the lexicon; one that ends in ``*`` stands for all tokens that begin so. An entry may
+    occur in both ways: its value is the number of the plain one and that of the other, None for neither."""
     trie = ahocorasick.Automaton()
+    entries: dict[str, list[int | None]] = {}
     for number, word in enumerate(lexicon):
-        plain = word.rstrip("*")
-        if plain not in trie or word == plain:
-            trie.add_word(plain, (number, len(plain), word != plain))
+        entries.setdefault(word.rstrip("*"), [None, None])[word.endswith("*")] = number
+    for plain, (whole, begins) in entries.items():
+        trie.add_word(plain, (len(plain), whole, begins))
     if lexicon:
         trie.make_automaton()
     return trie
@@ -66,15 +68,18 @@ def chain_of(text: str | None, automaton, always: bool = True) -> Chain:
     tokens of a text without lexicon tokens are not counted."""
     low = lowered(text or "")
     found: dict[int, tuple[int, int, int]] = {}  # by start: the longest entry
-    for last, (number, size, prefix) in automaton.iter(low) if len(automaton) else ():
+    for last, (size, whole, begins) in automaton.iter(low) if len(automaton) else ():
         start, end = last - size + 1, last + 1
         if start and low[start - 1].isalnum():
             continue
-        if prefix:
-            while end < len(low) and low[end].isalnum():
-                end += 1
-        if end == len(low) or not low[end].isalnum():
-            found[start] = (start, end, number)
+        ended = end == len(low) or not low[end].isalnum()
+        number = whole if ended and whole is not None else begins
+        if number is None:
+            continue
+        while end < len(low) and low[end].isalnum():
+            end += 1
+        # Longer entries are found later and take the place of shorter ones.
+        found[start] = (start, end, number)
     hits = list(found.values())
     if not hits and not always:
         return Chain([], [], [0])
