@@ -5,7 +5,8 @@ overlaps are derived from those of a similar set.
    threshold and is set aside; this is decided on a fixed part of the hash range.
 2. The rest is indexed by its rarest shingles. Shingles are ordered by frequency; a set enters the lists
    of its first few only (prefix), lists are cut into blocks by set size, and a set enters its own size
-   block and the next. Sets that no list brings together cannot be linked.
+   block and, as far as its place in the list leaves enough shingles for sets of that size, the next.
+   Sets that no list brings together cannot be linked.
 3. Sets that lists connect are compared exactly, in blocks. Within a block the overlaps of a set with
    all others come from those of the set before it: only the lists of the shingles that one of the two
    lacks are read.
@@ -94,18 +95,21 @@ def _ranked(docs: DataFrame, left: DataFrame, width: int, percent: int) -> DataF
 
 
 def _candidates(ranked: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(x, y)`` that connect all sets that share a block of an index list."""
+    """Edges ``(x, y)`` that connect all sets that share a block of an index list; blocks are skipped by place."""
     # In rarity order the first n - size(shared) shingles of a set occur in no other set.
     entries = _spare(F.col("n"), percent) + 1 - (F.col("n") - F.size("shared"))
     prefix = F.expr("slice(shared, 1, cast(entries as int))")
     step = math.log(100 / percent) * (1 + 1e-9)
-    grade = F.floor(F.log(F.col("n").cast("double")) / step)
-    lists = (
-        ranked.withColumn("entries", entries)
-        .filter("entries > 0")
-        .select("f", F.explode(prefix).alias("e"), F.array(grade, grade + 1).alias("grades"))
-        .select("f", F.col("e.s").alias("s"), F.explode("grades").alias("grade"))
-    )
+    grade = lambda n: F.floor(F.log(n.cast("double")) / step)
+    listed = ranked.withColumn("entries", entries).filter("entries > 0")
+    listed = listed.select("f", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(prefix).alias("k", "e"))
+    # If s is the first shingle that two linked sets share, both lack in common what comes before it. What is
+    # left of this set from its place on bounds the size of the other set, and so the blocks it may be in.
+    left = F.col("n") - F.col("own") - F.col("k")
+    most = F.floor(left * (100 + percent) / percent) - F.col("n")
+    own = grade(F.col("n"))
+    blocks = F.when(grade(most) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    lists = listed.select("f", F.col("e.s").alias("s"), F.explode(blocks).alias("grade"))
     lists = write_and_read(lists)
     firsts = lists.groupBy("s", "grade").agg(F.min("f").alias("y"), F.max("f").alias("_top")).filter("y < _top")
     return lists.join(firsts, ["s", "grade"]).filter("f <> y").select(F.col("f").alias("x"), "y").distinct()
