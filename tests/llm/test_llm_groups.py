@@ -348,3 +348,23 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_an_entry_may_be_a_token_and_a_beginning():
+    """The plain entry is the token itself, the other one stands for longer tokens."""
+    automaton = toxicity.automaton_of(["scum", "scum*", "vile", "vil*", "bag*"])
+    words = lambda text: [(text[a:b], n) for n, (a, b) in zip(*(lambda c: (c.words, c.spans))(toxicity.chain_of(text, automaton)))]
+    assert words("scum scumbags vile viler vil villain bags handbag") == [
+        ("scum", 0), ("scumbags", 1), ("vile", 2), ("viler", 3), ("vil", 3), ("villain", 3), ("bags", 4),
+    ]
+    assert words("handbag") == [] and toxicity.chain_of(None, toxicity.automaton_of([])).words == []
+
+
+def test_only_small_tables_are_broadcast(spark, monkeypatch):
+    hinted = lambda df: "broadcast" in common.small(df)._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in (
+        common.small(df)._jdf.queryExecution().analyzed().toString()
+    )
+    table = spark.range(1000).selectExpr("id", "repeat('x', 100) as text", "array('a', 'b') as many", "cast(null as string) as none")
+    assert hinted(table) and hinted(table.limit(0))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000 * 149)  # a row is 24 + 8 + 100 + 18 bytes
+    assert not hinted(table) and hinted(table.select("id")) and hinted(table.limit(500))

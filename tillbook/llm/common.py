@@ -8,14 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbook.sources import write_and_read
 
 #: A word is a run of anything but ASCII white space (Java's and DuckDB's regular expressions agree).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a table of ids is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; a larger one is joined by a shuffle. A row counts for its values
+#: and for what the hash table of a join keeps besides.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 24
 
 
 def word_count(text: Column) -> Column:
@@ -28,9 +30,25 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+def _bytes_of(column: T.StructField) -> Column:
+    """Bytes of a value, near enough: eight of a number, all of a text, the JSON text of anything else."""
+    value = F.col(f"`{column.name}`")
+    if isinstance(column.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(column.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, hinted for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table, hinted for broadcast only if its counted bytes are few."""
+    size = F.lit(ROW_BYTES).cast("bigint")
+    for column in df.schema.fields:
+        size = size + _bytes_of(column)
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:
