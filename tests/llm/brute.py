@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import regex
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -144,3 +146,61 @@ def search(docs, items, k=10):
         best = [r for r in sorted(scored, key=lambda r: r[:3]) if r[0] < 0][:k]
         out += [(item_id, rank, r[3], -r[0]) for rank, r in enumerate(best, 1)]
     return out
+
+
+UNITS = (
+    "km hm dm cm mm nm m kg mg g lb lbs oz l ml s ms min h hour hours minute minutes second seconds day days week weeks"
+    " month months year years mile miles foot feet ft inch inches meter meters metre metres dollar dollars euro euros"
+    " percent kb mb gb tb hz khz mhz ghz w kw v kv"
+).split()
+
+
+def template_tokens(text):
+    """``(template token, value)`` of a text."""
+    text = text or ""
+    number = r"[0-9]+(?:[.,][0-9]+)*"
+    letters = {m.start(): m.end() for m in regex.finditer(r"\p{L}+", text)}
+    names = [m.start() for m in regex.finditer(r"(?<=[\p{Ll},;:0-9] )\p{Lu}\p{Ll}+", text)]
+    chains = []
+    for at in names:
+        gap = rf"[,;:]? (?:(?:{number}|\p{{Lu}}\p{{L}}*)[,;:]? ){{0,3}}"
+        if chains and regex.fullmatch(gap, text[letters[chains[-1][-1]] : at]):
+            chains[-1].append(at)
+        else:
+            chains.append([at])
+    names = {at for c in chains if len(c) < 4 for at in c}
+    out = []
+    for m in regex.finditer(rf"\p{{L}}+|{number}", text):
+        word, at = m.group().lower(), m.start()
+        kind = word
+        if "0" <= word[0] <= "9":
+            kind = "#"
+        elif at in names:
+            kind = "@"
+        elif word in UNITS and regex.search(r"[0-9] ?$", text[max(at - 2, 0) : at]):
+            kind = "%"
+        out.append((kind, word))
+    return out
+
+
+def leaks(docs, items, width=5, share=0.5, run=13):
+    """``(doc_id, item_id): (windows, shared windows, exact)`` over ``(id, text)`` with different ids."""
+    out = {}
+    held = [(doc_id, template_tokens(text)) for doc_id, text in docs]
+    for item_id, text in items:
+        item = template_tokens(text)
+        size = min(width, len(item))
+        every = range(len(item) - size + 1) if item else []
+        for doc_id, doc in held:
+            for shift in range(-len(item), len(doc)):
+                both = [
+                    (item[at : at + size], doc[at + shift : at + shift + size]) for at in every if at + shift >= 0
+                ]
+                same = [(a, b) for a, b in both if [x for x, _ in a] == [x for x, _ in b]]
+                slots = {(x, y) for a, b in same for x, y in zip(a, b) if x[0] in ("#", "@", "%")}
+                enough = len(same) >= len(every) * share or len(same) >= run - width + 1
+                if same and enough and len({x for x, _ in slots}) == len(slots):
+                    exact = all(x == y for x, y in slots)
+                    n, e = out.get((doc_id, item_id), (0, 0, False))[1:]
+                    out[doc_id, item_id] = (len(every), max(n, len(same)), e or exact)
+    return out

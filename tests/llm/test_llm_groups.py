@@ -14,7 +14,7 @@ import corpus_pipeline
 from tillbook.llm import common, decontaminate, embeddings, jaccard, quality, shingles, toxicity
 from tillbook.sources import write_and_read
 
-from brute import DOCS, documents, jaccard_roots, roots, words
+from brute import DOCS, documents, jaccard_roots, leaks, roots, template_tokens, words
 
 
 def test_components(spark):
@@ -227,12 +227,53 @@ def test_leaks_at_every_offset(spark):
     assert {m for i, m in out if i == 2000} == {3} and not [m for i, m in out if i == 2001]
 
 
+def test_leaks_against_a_plain_version(spark):
+    """Items of a few templates, set into other words: as they are, with other values, in title case, cut."""
+    pick = random.Random(21)
+    plain = "the a road to old town is open again after rain but closed by night".split()
+    names, items, rows = ["Anna", "Peter", "Maria", "Olga"], [], []
+    for i in range(24):
+        text = " ".join(pick.choices(plain, k=3)) if i % 8 == 7 else (
+            f"On day {i % 3} driver {names[i % 4]} took {i % 5} kg of sand for {i % 7} miles and {names[i % 3]} paid {i % 4} euros"
+        )
+        items.append((i, text))
+    for i in range(160):
+        text = pick.choice(items)[1]
+        change = i % 8
+        if change == 1:
+            text = text.title()
+        elif change == 2:
+            text = "".join(str(pick.randrange(9)) if c.isdigit() else c for c in text)
+        elif change == 3:
+            text = " ".join(text.split()[: pick.randrange(2, 15)])
+        elif change == 4:
+            text = text.upper() if i % 16 == 4 else text.lower()
+        elif change == 5:
+            text = text.replace("3", "4").replace("Anna", "Olga")
+        around = [" ".join(pick.choices(plain + names, k=pick.randrange(12))) for _ in range(2)]
+        rows.append((i, pick.choice([" ", ". "]).join([around[0], text, around[1]]) if change != 7 else " ".join(pick.choices(plain, k=40))))
+    rows += [(1000, None), (1001, ""), (1002, "Of Km 5 Km A Road " * 700)]
+    out = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_shared"], r["exact"]) for r in out.collect()}
+    want = leaks(rows, items)
+    assert found == want and len(want) > 300
+
+
+def test_two_values_may_become_one_and_titles_have_no_names(spark):
+    item = "Tom has 3 red apples and 5 green pears, how many fruits has Tom now if he eats 2 of them"
+    rows = [(1, "so " + item.replace("5", "4").replace("3", "4")), (2, "Here Is One. " + item.title() + "."), (3, item.replace("3", "8"))]
+    out = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame([(7, item)], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["exact"]) for r in out.collect()} == {(1, False), (2, True), (3, False)}
+
+
 def test_templates_agree_token_by_token(spark):
-    texts = [ITEM, "", None, "1,000.5km x3 #@% Élan vital, Élan", "A 5 Kg bag; b5c é"]
+    texts = [ITEM, "", None, "1,000.5km x3 #@% Élan vital, Élan", "A 5 Kg bag; b5c é", ITEM.title(), "x " + "Ab, 5 C Dé " * 900]
     docs = documents(spark, list(enumerate(texts)))
     listed = F.array_join(F.transform(decontaminate.tokens(F.col("text")), lambda t: F.concat(t["t"], F.lit(" "))), "")
     for joined, plain in docs.select(listed, decontaminate.template(F.col("text"))).collect():
         assert (joined or " ").strip() == (plain or " ").strip()
+    for text, found in docs.select("text", decontaminate.tokens(F.col("text"))).collect():
+        assert [tuple(x) for x in found or []] == template_tokens(text)
 
 
 def _auc(score, label):

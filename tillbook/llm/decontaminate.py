@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates: typed placeholders, hash-joined windows, consistent slots.
 
 Column expressions and joins only. Numbers, names and units become placeholders; runs of template
-tokens that a document shares with a benchmark item are found by equality; the values that stand in the
-placeholders must map to each other one to one.
+tokens that a document shares with a benchmark item are found by equality; each value that stands in an
+item's placeholders must map to one value of the document.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ UNITS = (
 #: Marks put before names and units, from the private use area.
 NAME, UNIT = "", ""
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: A marked name, and what may stand between two of one title: up to three numbers and other capitalised words.
+NAMED, BETWEEN = rf"{NAME}\p{{L}}+[,;:]?", rf" (?:(?:{NUMBER}|\p{{Lu}}\p{{L}}*)[,;:]? ){{0,3}}"
 
 
 def marked(text: Column) -> Column:
     """The text with marks before names (capitalised words inside a sentence) and units (after a
-    number)."""
+    number). Capitals tell no names in a title: a run of four and more such words loses its marks."""
     named = F.regexp_replace(text, r"(?<=[\p{Ll},;:0-9] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    title = rf"(?:(?={NAMED}(?:{BETWEEN}{NAMED}){{3}})|\G(?!\A)({BETWEEN})){NAME}(\p{{L}}+[,;:]?)"
+    named = F.regexp_replace(named, title, "$1$2")
     return F.regexp_replace(named, rf"(?<=[0-9] ?)((?i:{UNITS}))(?!\p{{L}})", f"{UNIT}$1")
 
 
@@ -59,6 +63,11 @@ def tokens(text: Column) -> Column:
     return F.transform(found, token)
 
 
+def slot_values(part: Column) -> Column:
+    """Values of the placeholders among some tokens, each behind its placeholder."""
+    return F.transform(F.filter(part, lambda x: x["t"].isin("#", "@", "%")), lambda x: F.concat(x["t"], x["v"]))
+
+
 def windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` with a column ``tokens`` exploded to ``window``, ``at`` and ``slots`` (array of values
     that stand in placeholders), at every token; shorter texts are one window."""
@@ -67,8 +76,7 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
     def window(at: Column) -> Column:
         part = F.slice(F.col("tokens"), at, F.lit(width))
         words = F.array_join(F.transform(part, lambda x: x["t"]), " ")
-        slots = F.transform(F.filter(part, lambda x: x["t"].isin("#", "@", "%")), lambda x: F.concat(x["t"], x["v"]))
-        return F.struct(at.alias("at"), F.concat(words, F.lit(" ")).alias("window"), slots.alias("slots"))
+        return F.struct(at.alias("at"), F.concat(words, F.lit(" ")).alias("window"), slot_values(part).alias("slots"))
 
     kept = [c for c in rows.columns if c != "tokens"]
     found = rows.filter(F.size("tokens") > 0).select(*kept, F.explode(F.transform(starts, window)).alias("_w"))
@@ -86,17 +94,23 @@ def find_leaks(
     ``n_windows``, ``n_shared``, ``exact`` (all slot values equal).
 
     A document leaks an item when, on one alignment of the two, they share at least ``share`` of the
-    item's windows or a run of ``run`` tokens' worth of windows, and the slot values of the shared
-    windows map one to one. ``exact`` tells verbatim copies from re-parameterised ones.
+    item's windows or a run of ``run`` tokens' worth of windows, and every slot value of the item stands
+    for one value of the document in the shared windows (two may stand for the same). ``exact`` tells
+    verbatim copies from re-parameterised ones. Texts in title case are read without names, see ``marked``.
 
     Whole texts of all documents are read; the hashes of their windows join those of the item windows, and
-    only documents with such a window are looked at token by token. Rows agreeing in id and text are one
-    result. Null and empty texts and items share nothing. Items of fewer than ``width`` tokens are looked
-    for by windows of their own length, so a document with that run of template tokens leaks them.
+    only documents with such a window are looked at token by token. Items of equal templates are one class,
+    and are told apart by their values only in documents that hold enough of the template. Rows agreeing in
+    id and text are one result. Null and empty texts and items share nothing. Items of fewer than ``width``
+    tokens are looked for by windows of their own length, so a document with that run of template tokens
+    leaks them.
     """
     text_key = F.xxhash64("text").alias("text_key")
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).filter("item_id is not null")
-    known = write_and_read(windows(items, width).withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
+    named = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("tokens"))
+    whole = F.xxhash64(F.array_join(F.transform("tokens", lambda x: x["t"]), " ")).alias("class")
+    items = write_and_read(named.filter(F.size("tokens") > 0).select("item_id", whole, "tokens").distinct())
+    sample = items.groupBy("class").agg(F.first("tokens").alias("tokens"))
+    known = write_and_read(windows(sample, width).select("class", F.col("at").alias("item_at"), "window"))
     length = F.size(F.split("window", " ")) - 1
     widths = [r[0] for r in known.select(length).distinct().collect()]  # at most ``width`` of them
     every = lambda w: F.regexp_extract_all(template(F.col("text")), F.lit(f"(?=((?:[^ ]+ ){{{w}}}))[^ ]+ "), F.lit(1))
@@ -114,18 +128,21 @@ def find_leaks(
     parts = [windows(split.filter(F.size("tokens") >= w), w) for w in sorted(widths) or [width]]
     found = reduce(DataFrame.union, parts)
     pairs = found.join(small(known), "window").withColumn("shift", F.col("at") - F.col("item_at"))
-    on = ["doc_id", "text_key", "item_id", "shift"]
-    shared = pairs.groupBy(*on).agg(
-        F.countDistinct("item_at").alias("n_shared"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"),
-    )
-    sizes = known.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    joined = shared.join(small(sizes), "item_id")
-    values = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: s[name])))
-    one_to_one = (values("slots") == F.size("slots")) & (values("item_slots") == F.size("slots"))
+    on = ["doc_id", "text_key", "class", "shift"]
+    seen = F.collect_set(F.struct("item_at", "slots")).alias("seen")
+    shared = pairs.groupBy(*on).agg(F.countDistinct("item_at").alias("n_shared"), seen)
+    sizes = write_and_read(known.groupBy("class").agg(F.count("*").alias("n_windows")))
     enough = (F.col("n_shared") >= F.col("n_windows") * share) | (F.col("n_shared") >= run - width + 1)
-    exact = F.forall("slots", lambda s: s["slots"] == s["item_slots"])
-    best = joined.filter(enough & one_to_one).withColumn("exact", exact).groupBy("doc_id", "text_key", "item_id")
+    aligned = shared.join(small(sizes), "class").filter(enough)
+
+    # Items of one template meet a document here for the first time, where it holds that template.
+    pair = lambda a, b: F.struct(a.alias("item"), b.alias("document"))
+    values = lambda x: F.zip_with(slot_values(F.slice("tokens", x["item_at"], F.lit(width))), x["slots"], pair)
+    slots = F.array_distinct(F.flatten(F.transform("seen", values)))
+    matched = aligned.join(small(items), "class").withColumn("slots", slots)
+    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["item"]))) == F.size("slots")
+    exact = F.forall("slots", lambda x: x["item"] == x["document"])
+    best = matched.filter(consistent).withColumn("exact", exact).groupBy("doc_id", "text_key", "item_id")
     return best.agg(
         F.max("n_windows").alias("n_windows"), F.max("n_shared").alias("n_shared"), F.max("exact").alias("exact")
     )
