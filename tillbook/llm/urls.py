@@ -50,12 +50,20 @@ def _spots(key: Column, bits: int, level: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(bits)) for i in range(HASHES)]
 
 
-def _bloom(keys: DataFrame, level: int) -> Callable[[Column], Column]:
-    """A Bloom filter of ``keys(key)`` as a column test. The words of the filter, not keys, come to
-    the driver; their number is bounded by ``MAX_BITS``."""
+def filter_bits(inside: int, outside: int) -> int:
+    """Bits of a filter of ``inside`` keys that wrongly accepts no more than as many of ``outside`` keys,
+    which are those of the next level: a test of HASHES spots fails with (HASHES * inside / bits) ** HASHES."""
+    enough = HASHES * inside * (max(outside, 1) / max(inside, 1)) ** (1 / HASHES)
     bits = 64
-    while bits < BITS_PER_KEY * keys.count():
+    while bits < max(BITS_PER_KEY * inside, enough):
         bits *= 2
+    return bits
+
+
+def _bloom(keys: DataFrame, others: DataFrame, level: int) -> Callable[[Column], Column]:
+    """A Bloom filter of ``keys(key)`` as a column test, of a size that suits the number of ``others``.
+    The words of the filter, not keys, come to the driver; their number is bounded by ``MAX_BITS``."""
+    bits = filter_bits(keys.count(), others.count())
     if bits > MAX_BITS:
         raise ValueError(f"a filter of {bits} bits exceeds {MAX_BITS}; list fewer keys per cascade")
     spot = keys.select(F.explode(F.array(*_spots(F.col("key"), bits, level))).alias("spot"))
@@ -83,7 +91,8 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Callable[[Column], Column
     """Exact membership in ``listed(key)`` for every key of ``universe(key)``, as a column test.
 
     Level 1 encodes the listed keys, level 2 those other keys of the universe that level 1 wrongly
-    accepts, level 3 the listed keys that level 2 wrongly accepts, and so on until no error is left.
+    accepts, level 3 the listed keys that level 2 wrongly accepts, and so on until no error is left. Levels
+    are as large as it takes to leave the next one no more keys, about, than they have.
     Keys outside ``universe`` may be judged wrongly, so it must hold every key that will be asked.
     Null keys and repeats are ignored; an empty list gives a test that is always false.
     """
@@ -94,7 +103,7 @@ def cascade(listed: DataFrame, universe: DataFrame) -> Callable[[Column], Column
     inside, outside = listed, write_and_read(others.distinct())
     levels = []
     while True:
-        holds = _bloom(inside, len(levels))
+        holds = _bloom(inside, outside, len(levels))
         levels.append(holds)
         wrong = write_and_read(outside.filter(holds(F.col("key"))))
         if wrong.isEmpty():
