@@ -353,6 +353,12 @@ def test_quality_of_unseen_documents(spark):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_ids_labelled_twice_count_once(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    rows = quality.training_rows(labels, ~quality.held_out(F.col("doc_id")), "quality", 100)
+    assert sorted(map(tuple, rows.filter("doc_id is not null").collect())) == [(1, 1), (2, 0)]
+
+
 def test_models_without_labels_are_constant(spark):
     docs = documents(spark, [(1, "a b"), (2, "c d")])
     for rows in ([], [(1, 1, None)], [(1, None, 1), (2, 1, 1)]):

@@ -160,9 +160,9 @@ def _log_odds(share: float) -> float:
 
 
 def training_rows(labels: DataFrame, learn: Column, target: str, most: int, seed: int = 7) -> DataFrame:
-    """``(doc_id, label)`` of labelled rows that may be learned from: all, or about ``most`` of them
-    drawn by a hash of the id."""
-    known = labels.filter(learn & F.col(target).isNotNull()).select("doc_id", F.col(target).alias("label"))
+    """``(doc_id, label)`` of labelled ids that may be learned from: all, or about ``most`` of them
+    drawn by a hash of the id. An id that is labelled several times counts once, with its largest label."""
+    known = labels.filter(learn & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias("label"))
     share = min(1.0, most / max(known.count(), 1))
     lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return write_and_read(known.filter(lot < share))
