@@ -204,3 +204,16 @@ def leaks(docs, items, width=5, share=0.5, run=13):
                     n, e = out.get((doc_id, item_id), (0, 0, False))[1:]
                     out[doc_id, item_id] = (len(every), max(n, len(same)), e or exact)
     return out
+
+
+def licences(sequence, rules):
+    """Licences of a sequence of ``identifier version`` by ordered rules, each on what the ones before left."""
+    rest, out = [tuple((s + " ").split(" ")[:2]) for s in sequence], []
+    for name, ids in rules:
+        at = 0
+        while at + len(ids) <= len(rest):
+            if [s and s[0] for s in rest[at : at + len(ids)]] == list(ids):
+                out.append(f"{name} {rest[at][1]}".strip())
+                rest[at : at + len(ids)] = [None]
+            at += 1
+    return list(dict.fromkeys(out))

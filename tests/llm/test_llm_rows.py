@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillbook.llm import licenses, mixing, queries, secrets, sharding, urls
 
-from brute import documents, n_words, targets
+from brute import documents, licences, n_words, targets
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +96,24 @@ def test_cascade_is_exact(spark):
     assert frame(keys).filter(urls.cascade(frame([]), frame(keys))(F.col("key"))).count() == 0
 
 
+def test_levels_of_a_cascade_shrink(spark, monkeypatch):
+    """A filter of few keys over many others leaves about as few of them to the next."""
+    sizes, plain = [], urls.filter_bits
+    monkeypatch.setattr(urls, "filter_bits", lambda a, b: sizes.append((a, b)) or plain(a, b))
+    keys = spark.range(300_000).selectExpr("concat('k', id) AS key")
+    member = urls.cascade(keys.limit(3), keys)
+    assert keys.filter(member(F.col("key"))).count() == 3
+    assert sizes[0] == (3, 299_997) and all(a <= 10 for a, _ in sizes)
+    assert plain(3, 10**10) <= 2048 and plain(700, 3300) == 8192 and plain(0, 0) == 64
+
+
+@pytest.mark.parametrize("rows", [[("http://a.example.com/en/" + "x/" * 100_000, "block")] * 3 + [("http://com/" + "é" * 9, "allow")]])
+def test_long_and_repeated_urls(spark, rows):
+    pages = spark.createDataFrame([(1, u) for u, _ in rows], "page_id bigint, url string")
+    judged = urls.filter_urls(pages, queries.URL_RULES).select("page.page_id", "verdict", "host").collect()
+    assert sorted(r["verdict"] for r in judged) == sorted(v for _, v in rows) and len(judged) == len(rows)
+
+
 URLS = {
     None: ("", "", None, "allow"),
     "": ("", "", None, "allow"),
@@ -341,3 +359,49 @@ def test_many_and_long_candidates(spark):
         for hits in (out[secrets.ENTROPY], out["hex"]):
             assert all(text[h["start"] : h["end"]] == h["value"] for h in hits)
     assert [h["start"] for h in secrets.scan_secrets(documents(spark, [(0, " ".join(words))])).first()["hex"]] == [33 * i for i in range(2000)]
+
+
+def test_licences_against_plain_rules(spark):
+    """Texts made of known and other sentences, wrapped, in comments, in other letters."""
+    pick = random.Random(4)
+    known = [(name, sentence) for name, every in licenses.SENTENCES for sentence in every]
+    texts, want = [], []
+    for i in range(300):
+        mark, parts, ids = pick.choice(["", "# ", "// ", " * "]), [], []
+        chosen = pick.choice(licenses.RULES)[1] if i % 2 else ()
+        for name, sentence in [(n, pick.choice([s for m, s in known if m == n])) for n in chosen] + pick.choices(known, k=i % 4):
+            version = pick.choice(["2.0", "3", "1.1"])
+            words = [version if w == "#" else "Some-tool" if w == "*" else w for w in sentence.split()]
+            text = words[0] + "".join(pick.choice([" ", " ", " ", "\n" + mark]) + w for w in words[1:])
+            parts.append(pick.choice([text, text.capitalize(), text.upper()]))
+            ids.append(f"{name} {version}" if "#" in sentence else name)
+            if pick.random() < 0.3:
+                parts.append(pick.choice(["Nobody said that the license was lost", "other words", "MIT", "Copyright law is old"]))
+        texts.append("".join(mark + p + pick.choice([".\n", "\n" + mark + "\n", "!\n"]) for p in parts))
+        want.append((ids, licences(ids, licenses.RULES)))
+    out = licenses.scan_licenses(documents(spark, list(enumerate(texts)))).collect()
+    for r in out:
+        assert (r["sentences"], r["licenses"]) == want[r["doc_id"]], r["text"]
+
+
+def test_more_licences(spark):
+    """Lines of identifiers, lesser and affero, public domain, Creative Commons written out; long and repeated texts."""
+    lesser = GPL.replace("GNU General", "GNU Lesser General").replace("This program", "This library")
+    texts = {
+        "// SPDX-License-Identifier: MIT\ncode": ["MIT"],
+        "# SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-or-later 3.0"],
+        "/* SPDX-License-Identifier: Apache-2.0 */": ["Apache 2.0"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"],
+        lesser: ["LGPL 3"], commented(lesser, "--"): ["LGPL 3"], GPL.replace("GNU General", "GNU Affero General"): ["AGPL 3"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA 4.0"],
+        "Distributed under the Boost Software License, Version 1.0. (See file)": ["BSL 1.0"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.": ["0BSD"],
+        "A song in the public domain, they say.": [],
+        "word " * 60_000 + "\n" + APACHE + "\n" + "licence " * 30_000: ["Apache 2.0"],
+    }
+    rows = list(enumerate(texts)) * 2
+    out = licenses.scan_licenses(documents(spark, rows)).collect()
+    assert len(out) == len(rows) and all(r["licenses"] == list(texts.values())[r["doc_id"]] for r in out), [
+        (r["doc_id"], r["licenses"]) for r in out
+    ]

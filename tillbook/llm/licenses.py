@@ -10,6 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The GNU licences besides the general one, by identifier.
+GNU = (("LgplUnder", "lesser "), ("LgplUnder", "library "), ("AgplUnder", "affero "))
+
+
+def _gnu(kind: str) -> tuple[str, ...]:
+    """Sentences that put a program under a GNU licence of a kind."""
+    terms = f"you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published"
+    ends = ("either version # of the license or at your option any later version", "version # of the license")
+    begins = ("this program is free software ", "this library is free software ", "")
+    long = tuple(f"{b}{terms} by the free software foundation {e}" for b in begins for e in ends)
+    return *long, f"licensed under the gnu {kind}general public license version #"
+
+
+#: The elements of Creative Commons licences by their short names.
+CREATIVE = (
+    ("CcByNcSa", "attribution noncommercial sharealike", "by nc sa"),
+    ("CcByNcNd", "attribution noncommercial noderivatives", "by nc nd"),
+    ("CcByNd", "attribution noderivatives", "by nd"),
+    ("CcByNc", "attribution noncommercial", "by nc"),
+    ("CcBySa", "attribution sharealike", "by sa"),
+    ("CcBy", "attribution", "by"),
+)
+
+
+def _creative(elements: str) -> tuple[str, ...]:
+    """Sentences that put a work under a Creative Commons licence written out."""
+    begins = ("this work is licensed under", "licensed under")
+    ends = ("", " international", " unported", " international license", " unported license", " license")
+    return tuple(f"{b} {a} creative commons {elements} #{e}" for b in begins for a in ("a", "the") for e in ends)
+
+
+#: Names in SPDX lines, normalised, with the licence each stands for.
+SPDX = (
+    ("apache #", "Apache"), ("mit", "MIT"), ("bsd 3 clause", "BSD-3-Clause"), ("bsd 2 clause", "BSD-2-Clause"),
+    ("0bsd", "0BSD"), ("isc", "ISC"), ("unlicense", "Unlicense"), ("bsl #", "BSL"), ("mpl #", "MPL"), ("cc0 #", "CC0"),
+    ("gpl #", "GPL"), ("gpl # only", "GPL"), ("gpl # or later", "GPL-or-later"),
+    ("lgpl #", "LGPL"), ("lgpl # only", "LGPL"), ("lgpl # or later", "LGPL-or-later"),
+    ("agpl #", "AGPL"), ("agpl # only", "AGPL"), ("agpl # or later", "AGPL-or-later"),
+    ("cc by #", "CC-BY"), ("cc by sa #", "CC-BY-SA"), ("cc by nd #", "CC-BY-ND"), ("cc by nc #", "CC-BY-NC"),
+    ("cc by nc sa #", "CC-BY-NC-SA"), ("cc by nc nd #", "CC-BY-NC-ND"),
+)
+
 #: Normalised licence sentences (see ``normalised``) by identifier. ``#`` stands for a
 #: version number, which is kept beside the identifier, ``*`` for a name of one to twelve words.
 SENTENCES = (
@@ -75,6 +117,34 @@ SENTENCES = (
         " this software without specific prior written permission",
     )),
     ("MplUnder", ("this source code form is subject to the terms of the mozilla public license v #",)),
+    ("IscGrant", (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+    )),
+    ("ZeroGrant", (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    )),
+    ("BoostUnder", ("distributed under the boost software license version #",)),
+    ("BoostGrant", (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and"
+        " accompanying documentation covered by this license the software to use reproduce display distribute execute and"
+        " transmit the software and to prepare derivative works of the software and to permit third parties to whom the"
+        " software is furnished to do so all subject to the following",
+    )),
+    ("Cc0Waiver", (
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to"
+        " this software to the public domain worldwide",
+        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his"
+        " or her rights to the work worldwide under copyright law including all related and neighboring rights to the"
+        " extent allowed by law",
+    )),
+    ("UnlicenseRelease", ("this is free and unencumbered software released into the public domain",)),
+    *((name, _gnu(kind)) for name, kind in GNU),
+    *((name, _creative(elements)) for name, elements, _ in CREATIVE),
+    *((name, (f"licensed under cc {short} #", f"this work is licensed under cc {short} #")) for name, _, short in CREATIVE[:3]),
+    *((f"Spdx{name}", (f"spdx license identifier {line}",)) for line, name in SPDX),
 )
 
 #: Licences and their identifier sequences, tried in this order.
@@ -86,18 +156,32 @@ RULES = (
     ("MIT", ("MitGrant", "AsIs")),
     ("MIT", ("MitGrant",)),
     ("MIT", ("MitUnder",)),
+    ("LGPL", ("LgplUnder", "GplNoWarranty")),
+    ("LGPL", ("LgplUnder",)),
+    ("AGPL", ("AgplUnder", "GplNoWarranty")),
+    ("AGPL", ("AgplUnder",)),
     ("GPL", ("GplUnder", "GplNoWarranty")),
     ("GPL", ("GplUnder",)),
     ("CC-BY-NC", ("CcByNc",)),
     ("CC-BY-SA", ("CcBySa",)),
     ("CC-BY", ("CcBy",)),
+    ("CC-BY-NC-SA", ("CcByNcSa",)),
+    ("CC-BY-NC-ND", ("CcByNcNd",)),
+    ("CC-BY-ND", ("CcByNd",)),
     ("MPL", ("MplUnder",)),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroGrant",)),
+    ("BSL", ("BoostUnder",)),
+    ("BSL", ("BoostGrant",)),
+    ("CC0", ("Cc0Waiver",)),
+    ("Unlicense", ("UnlicenseRelease",)),
+    *dict.fromkeys((name, (f"Spdx{name}",)) for _, name in SPDX),
     ("AllRightsReserved", ("AllRights",)),
 )
 
 VERSION = r"[0-9]+(?:\.[0-9]+)*"
 #: A cheap test that every known sentence passes; other texts are not normalised.
-HINT = r"(?i)licen[sc]e|copyright|rights|permission|redistribut|warranty|endorse"
+HINT = r"(?i)licen[sc]e|copyright|rights|permission|redistribut|warranty|endorse|public\s+domain"
 
 #: What makes the normalised text, in order, on lower-cased text. A carriage return marks an end (blank
 #: line, or ``.``, ``!``, ``?`` before white space), a line feed a place where a sentence may begin, end or
@@ -140,8 +224,10 @@ def known_sentences(text: Column) -> Column:
     found = F.regexp_extract_all(normalised(text), F.lit(between), F.lit(1))
 
     def entry(s: Column) -> Column:
-        name = F.coalesce(*[F.when(s.rlike(rf"\A(?:{'|'.join(map(_pattern, all_))})\z"), F.lit(i)) for i, all_ in SENTENCES])
-        return F.rtrim(F.concat_ws(" ", name, F.regexp_extract(s, VERSION, 0)))
+        version = F.regexp_extract(s, rf"(?<=[ \n])({VERSION})(?![a-z0-9])", 1)
+        name = lambda i, all_: F.rtrim(F.concat_ws(" ", F.lit(i), version)) if any("#" in x for x in all_) else F.lit(i)
+        fits = lambda all_: s.rlike(rf"\A(?:{'|'.join(map(_pattern, all_))})\z")
+        return F.coalesce(*[F.when(fits(all_), name(i, all_)) for i, all_ in SENTENCES])
 
     return F.transform(found, entry)
 
@@ -173,8 +259,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     out where the sentence names none. Columns of ``docs`` with these names are replaced.
 
     Rules are tried in order on the identifier sequence, where unknown sentences do not count; what a
-    rule matches is consumed, so a licence's full text is not found again as its short form. Whole
-    texts are read. Null and empty texts have neither sentences nor licences; rows are independent.
+    rule matches is consumed, so a licence's full text is not found again as its short form. Only SPDX lines
+    tell ``-or-later`` licences apart. Whole texts are read. Null and empty texts have neither sentences nor licences; rows are independent.
     """
     none = F.array().cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
