@@ -77,6 +77,28 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, width, percent, bloc
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_blocks_of_distant_grades_are_skipped(spark):
+    """Every pair of neighbouring grades meets once; larger groups deal no block to one two grades away."""
+    pick = random.Random(12)
+    rows = [(g, 1000 * g + i, pick.choice([0, 0, 0, 1, 2, 3, 7])) for g, n in enumerate([1, 2, 9, 60, 200]) for i in range(n)]
+    members = write_and_read(spark.createDataFrame(rows, "g bigint, number bigint, size bigint"))
+
+    def meet(left, right, same):
+        pairs = left[["g", "number"]].merge(right[["g", "number"]], on="g", suffixes=("", "2"))
+        pairs = pairs[pairs.number < pairs.number2] if same else pairs
+        return pd.DataFrame({"x": pairs[["number", "number2"]].min(axis=1), "y": pairs[["number", "number2"]].max(axis=1)})
+
+    for grade, most in [(F.col("size"), 10), (None, 10), (F.col("size"), 500)]:
+        out = common.deal_blocks(members, "g", "number", most, meet, "x bigint, y bigint", grade=grade).collect()
+        out = [tuple(r) for r in out]
+        want = {
+            (a, b)
+            for g, a, s in rows for h, b, t in rows
+            if g == h and a < b and (grade is None or abs(s - t) <= 1 or sum(r[0] == g for r in rows) <= most)
+        }
+        assert len(out) == len(set(out)) and set(out) == want
+
+
 def test_answers_from_the_set_before():
     pick = np.random.default_rng(7)
     base = np.unique(pick.integers(0, 1 << 40, 80))

@@ -84,7 +84,13 @@ def _star(every: DataFrame, moved: DataFrame, own: bool = False) -> DataFrame:
     return out.filter("x > y").distinct()
 
 
-def deal_blocks(members: DataFrame, group: str, number: str, most: int, kernel, schema: str) -> DataFrame:
+#: Blocks of a grade are numbered from the grade times this on.
+GRADE = 1 << 32
+
+
+def deal_blocks(
+    members: DataFrame, group: str, number: str, most: int, kernel, schema: str, grade: Column | None = None
+) -> DataFrame:
     """Run ``kernel`` over all pairs of members of each group, in blocks of bounded size.
 
     ``members`` is a written table with a group, a number and a payload per row. A group of at most
@@ -92,16 +98,29 @@ def deal_blocks(members: DataFrame, group: str, number: str, most: int, kernel,
     blocks (and each block with itself) is dealt out by itself, so that no task holds a group. Pairs of
     blocks are range-partitioned, which packs small groups together. ``kernel`` gets the rows of one
     pair of blocks as two frames (the same one twice for a block with itself) and returns a frame.
+
+    With ``grade``, a whole number from 0 on, groups of more than ``most`` rows are divided by grade first,
+    and pairs of blocks whose grades differ by more than one are skipped.
     """
     sizes = write_and_read(members.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1"))
-    parts = F.ceil(F.col("_m") / most).cast("int")
-    blocked = members.join(small(sizes), group).withColumn("_n", parts).withColumn(
-        "_block", F.pmod(F.xxhash64(number), F.col("_n")).cast("int")
-    )
-    dealt = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    sized = members.join(small(sizes), group)
+    place = lambda parts: F.pmod(F.xxhash64(number), parts)
+    if grade is None:
+        parts = F.ceil(F.col("_m") / most)
+        blocked = sized.withColumn("_block", place(parts))
+        others = F.sequence(F.lit(0).cast("bigint"), parts - 1)
+    else:
+        graded = sized.withColumn("_grade", F.when(F.col("_m") > most, grade).otherwise(0).cast("bigint"))
+        near = small(_near_grades(graded, group, most))
+        own = F.filter("_near", lambda g: g["grade"] == F.col("_grade"))[0]["parts"]
+        blocked = graded.join(near, [group, "_grade"]).withColumn("_block", F.col("_grade") * GRADE + place(own))
+        numbers = lambda g: F.sequence(g["grade"] * GRADE, g["grade"] * GRADE + g["parts"] - 1)
+        others = F.flatten(F.transform("_near", numbers))
+    dealt = blocked.withColumn("_other", F.explode(others))
     dealt = dealt.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
     keys = [group, "_low", "_high"]
-    dealt = dealt.drop("_m", "_n", "_other").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*members.columns, "_block", "_low", "_high")
+    dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(parts, keys):
@@ -115,6 +134,16 @@ def deal_blocks(members: DataFrame, group: str, number: str, most: int, kernel,
     return dealt.mapInPandas(run, schema)
 
 
+def _near_grades(graded: DataFrame, group: str, most: int) -> DataFrame:
+    """By group and grade, the numbers of blocks of this grade and of the two beside it, a written table."""
+    parts = F.ceil(F.count("*") / most).alias("parts")
+    parts = graded.groupBy(group, F.col("_grade").alias("grade")).agg(parts)
+    around = F.explode(F.array(*[F.col("grade") + d for d in (-1, 0, 1)])).alias("_grade")
+    beside = parts.select(group, around, F.struct("grade", "parts").alias("_part"))
+    # At most three entries; a grade that only its neighbours name has no rows to join.
+    return write_and_read(beside.groupBy(group, "_grade").agg(F.collect_list("_part").alias("_near")))
+
+
 def runs(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of each key, from batches sorted by the keys."""
     held = None

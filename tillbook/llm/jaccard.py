@@ -7,7 +7,8 @@ overlaps are derived from those of a similar set.
    of its first few only (prefix), lists are cut into blocks by set size, and a set enters its own size
    block and, as far as its place in the list leaves enough shingles for sets of that size, the next.
    Sets that no list brings together cannot be linked.
-3. Sets that lists connect are compared exactly, in blocks. Within a block the overlaps of a set with
+3. Sets that lists connect are compared exactly, in blocks, and blocks whose sizes are too far apart are
+   skipped. Within a block the overlaps of a set with
    all others come from those of the set before it: only the lists of the shingles that one of the two
    lacks are read.
 """
@@ -66,6 +67,11 @@ def _spare(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100)
 
 
+def _grade(n: Column, percent: int) -> Column:
+    """Grade of a size; the sizes of linked sets are of one grade or of two that follow each other."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9)))
+
+
 def _undecided(sets: DataFrame, percent: int) -> DataFrame:
     """``(k, f, doc_id, n)`` of classes with too few shingles of their own to be set aside, numbered by
     ``k``. Rows count for themselves here, as their small numbers shuffle in fewer bytes than
@@ -99,16 +105,14 @@ def _candidates(ranked: DataFrame, percent: int) -> DataFrame:
     # In rarity order the first n - size(shared) shingles of a set occur in no other set.
     entries = _spare(F.col("n"), percent) + 1 - (F.col("n") - F.size("shared"))
     prefix = F.expr("slice(shared, 1, cast(entries as int))")
-    step = math.log(100 / percent) * (1 + 1e-9)
-    grade = lambda n: F.floor(F.log(n.cast("double")) / step)
     listed = ranked.withColumn("entries", entries).filter("entries > 0")
     listed = listed.select("f", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(prefix).alias("k", "e"))
     # If s is the first shingle that two linked sets share, both lack in common what comes before it. What is
     # left of this set from its place on bounds the size of the other set, and so the blocks it may be in.
     left = F.col("n") - F.col("own") - F.col("k")
     most = F.floor(left * (100 + percent) / percent) - F.col("n")
-    own = grade(F.col("n"))
-    blocks = F.when(grade(most) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    own = _grade(F.col("n"), percent)
+    blocks = F.when(_grade(most, percent) > own, F.array(own, own + 1)).otherwise(F.array(own))
     lists = listed.select("f", F.col("e.s").alias("s"), F.explode(blocks).alias("grade"))
     lists = write_and_read(lists)
     firsts = lists.groupBy("s", "grade").agg(F.min("f").alias("y"), F.max("f").alias("_top")).filter("y < _top")
@@ -178,7 +182,8 @@ def linked_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     nothing and their component is their own id. Rows with equal ids are separate documents; a
     component of null ids only has the id null.
 
-    Nothing is capped: lists and components of any length are divided into blocks.
+    Nothing is capped: lists and components of any length are divided into blocks, large components by size
+    first.
     """
     sets = write_and_read(sets_of(docs, width, percent))
     classes = write_and_read(sets.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
@@ -187,7 +192,10 @@ def linked_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     rough = write_and_read(components(_candidates(ranked, percent)))
     hashes = F.array_sort(F.transform("shared", lambda e: e["s"])).alias("hashes")
     members = ranked.join(small(rough), F.col("f") == F.col("node")).select("root", "f", "n", hashes)
-    links = deal_blocks(write_and_read(members), "root", "f", BLOCK, _compare(percent), "x bigint, y bigint")
+    links = deal_blocks(
+        write_and_read(members), "root", "f", BLOCK, _compare(percent), "x bigint, y bigint",
+        grade=_grade(F.col("n"), percent),
+    )
     found = write_and_read(components(write_and_read(links)))
 
     rooted = classes.join(found, F.col("f") == F.col("node"), "left")
