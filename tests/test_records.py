@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillbook import SALES, sources as src
+from tillbook.shared import write_and_read
 from tillbook.sources import records, uploads
 
 
@@ -105,3 +106,15 @@ def test_uploads_with_breaks_in_quotes(spark, tmp_path, small_parts, monkeypatch
     reasons = sorted((r[0], r[4]) for r in got if r[4])
     assert reasons == [("t0", "unclosed_quote"), ("t1", "no_rows"), ("t1", "unsupported_file")]
     assert uploads.CSV_GLOB
+
+
+def test_only_pieces_of_records_are_written(spark, tmp_path, small_parts, monkeypatch):
+    """Records that lie in one part of a file are neither moved nor written."""
+    kept = []
+    monkeypatch.setattr(records, "write_and_read", lambda df: kept.append(write_and_read(df)) or kept[-1])
+    (tmp_path / "a.csv").write_text("a,b\n" + '1,"x\ny"\n2,z\n' * 200)
+    lines = lines_of(spark, str(tmp_path))
+    out = records.quoted_records(lines)
+    assert out.count() == 401
+    parts = lines.select("start").distinct().count()
+    assert parts > 5 and sum(df.count() for df in kept) <= 2 * parts

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tillbook.operators.ingest import csv_fields, parse_csv_lines, with_layout
 from tillbook.operators.ranking import join_by_key
-from tillbook.shared import write_and_read
 from tillbook.sources.records import filled, quoted_records, records_of
 from tillbook.spec import TENANT, LedgerSpec
 
@@ -74,7 +73,7 @@ def read_csv_uploads(
     )
     if multiline:
         numbered = text.select("file", F.col("_start").alias("start"), F.monotonically_increasing_id().alias("at"), "line")
-        lines = write_and_read(quoted_records(numbered)).withColumnRenamed("place", "_at")
+        lines = quoted_records(numbered).withColumnRenamed("place", "_at")
         heads = lines.groupBy("file").agg(
             F.min_by("line", "_at").alias("_head"), F.min("_at").alias("_top"), F.count("*").alias("_n")
         )
