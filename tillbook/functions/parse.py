@@ -162,7 +162,8 @@ def to_day(c: Column, kind: T.DataType, formats: Sequence[str] = DATE_FORMATS) -
     day = F.lit(None)
     for date_format in reversed(formats):
         text = whole if "H" in date_format or "h" in date_format else dated
-        read = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+        # The cast reads texts of this shape as the format does, at a fraction of its cost.
+        read = text.try_cast("date") if date_format == "yyyy-M-d" else F.try_to_timestamp(text, F.lit(date_format)).cast("date")
         if re.search(r"(?<!y)yy(?!y)", date_format):
             read = F.when(F.year(read) < _PIVOT, read).otherwise(F.add_months(read, -1200))
         day = F.coalesce(F.when(text.rlike(_shape(date_format)), read), day)
