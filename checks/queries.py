@@ -205,7 +205,7 @@ def _csv_folder(spark: SparkSession, folder: str) -> str:
     path = src.shared_folder(spark)
     raw = wh.raw_sales(spark, folder)
     odd = F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint") % 2 == 1
-    tenants = raw.select("user_id").distinct()
+    tenants = src.write_and_read(raw.select("user_id").distinct())
 
     plain = {**CSV, "header": False, "sep": "\u0001", "quote": "", "escapeQuotes": False}
 
@@ -349,15 +349,16 @@ def _partial_changes(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None)
 
     def change(where: str, op: str, seq: int, date=none, product=none, sales=none, category=none, suffix=""):
-        return line.filter(where).select(
-            "user_id", F.concat("id", F.lit(suffix)).alias("id"), F.lit(op).alias("op"),
+        fields = F.struct(
+            F.concat("id", F.lit(suffix)).alias("id"), F.lit(op).alias("op"),
             F.lit(seq).cast("bigint").alias("seq"), date.cast("date").alias("date"),
             product.cast("string").alias("product"), sales.cast("decimal(18,2)").alias("sales"),
             category.cast("string").alias("category"),
         )
+        return F.when(F.expr(where), fields)
 
     name, late = F.col("product"), F.lit("1999-09-09")
-    steps = [
+    steps = F.array(
         change("q <= 4", "update", 1, sales=F.col("sales") + 1),
         change("q in (1, 2, 6)", "update", 2, product=F.concat(name, F.lit(" a"))),
         change("q in (1, 2)", "update", 3, product=F.concat(name, F.lit(" b"))),
@@ -365,11 +366,8 @@ def _partial_changes(spark: SparkSession, folder: str) -> DataFrame:
         change("q = 3", "update", 5, category=F.lit("again")),
         change("q = 7", "insert", 1, product=name, sales=F.col("sales"), suffix="-new"),
         change("q = 8", "delete", 1),
-    ]
-    out = steps[0]
-    for step in steps[1:]:
-        out = out.unionByName(step)
-    return out
+    )
+    return line.filter("q <= 8").select("user_id", F.inline(F.array_compact(steps)))
 
 
 def apply_changes_partial(spark: SparkSession, folder: str) -> DataFrame:

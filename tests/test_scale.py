@@ -9,6 +9,7 @@ import pytest
 from helpers import EXPENSES, SALES, ledger, rows
 from pyspark.sql import functions as F
 
+from checks import queries as checks
 from tillbook import operators as ops
 from tillbook import plans
 from tillbook import sources as src
@@ -151,3 +152,25 @@ def test_grains_of_a_written_cube_are_pruned(stored):
     cube = src.write_and_read(plans.ledger_cube(stored, SALES), ["grain"])
     plan = final_plan(ops.daily_totals(plans.cube_grain(cube, "day"), SALES))
     assert "grain" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_change_set_is_built_in_one_pass(spark, data):
+    """The lines are joined once for all kinds of changes."""
+    plan = checks._partial_changes(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3
+
+
+def test_store_computes_a_change_set_once(spark, tmp_path):
+    """Every step of the change works on the written change set."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = ledger(spark, [("a", "2024-01-01", "x", 1), ("a", "2024-02-01", "y", 2)])
+    src.write_ledger(rows, str(tmp_path / "ledger"))
+    changes = rows.withColumns({"op": F.lit("update"), "seq": F.lit(1).cast("bigint")})
+    src.store_changes(spark, str(tmp_path / "ledger"), changes.mapInArrow(counted, changes.schema), SALES)
+    assert seen.value == 2
