@@ -76,7 +76,7 @@ def decode_large_uploads(uploads: DataFrame, spec: LedgerSpec, multiline: bool =
     good = chunks.join(files.filter("named and csv and not broken").select("upload"), "upload", "left_semi")
     lines = _lines(good)
     if multiline:
-        records = quoted_records(lines)
+        records = quoted_records(lines, scanned=False)
     else:
         cut = lines.select("file", "start", "at", F.posexplode(F.split(line_feeds(F.col("line")), "\n")).alias("k", "line"))
         cut = cut.filter(filled(F.col("line")))

@@ -136,10 +136,11 @@ def _closed(part: tuple[str, int], lines: pa.Array, at: np.ndarray, begins: np.n
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
-def quoted_records(lines: DataFrame, record_bytes: int = RECORD_BYTES) -> DataFrame:
+def quoted_records(lines: DataFrame, record_bytes: int = RECORD_BYTES, *, scanned: bool = True) -> DataFrame:
     """``(file, place, line, whole)``: the filled records of files from their lines.
 
-    ``lines`` is a scan: every part of a file lies in one partition, in its order. It has ``file``, ``start``
+    ``lines`` is a scan: every part of a file lies in one partition, in its order; if not, say so by ``scanned``,
+    and the lines are brought into this form. It has ``file``, ``start``
     (where the part of the file begins that the line was read from), ``at`` (a number that rises within the
     part) and ``line``, its text up to a line feed. ``place`` orders the records of a file. A record of more
     than ``record_bytes`` is given by its first line with ``whole`` false.
@@ -151,7 +152,10 @@ def quoted_records(lines: DataFrame, record_bytes: int = RECORD_BYTES) -> DataFr
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     inside = parts.withColumn("inside", F.sum("odd").over(earlier) % 2 == 1).filter("inside").drop("odd")
     marked = lines.join(F.broadcast(inside), ["file", "start"], "left")
-    marked = marked.select("file", "start", "at", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("inside", F.lit(False)).alias("inside"))
+    marked = marked.select("file", F.col("start").cast("bigint").alias("start"), F.col("at").cast("bigint").alias("at"), F.coalesce("line", F.lit("")).alias("line"), F.coalesce("inside", F.lit(False)).alias("inside"))
+    marked = marked.withColumn("file", F.col("file").cast("string"))
+    if not scanned:
+        marked = marked.repartition("file", "start").sortWithinPartitions("file", "start", "at")
     found = marked.mapInArrow(lambda batches: _records_in_parts(batches, record_bytes), _FOUND_SQL)
     broken = write_and_read(found.filter("piece").repartition("file", "start"))
     single = found.filter("not piece").select("file", F.struct("start", "at").alias("place"), "line", "whole")
@@ -175,4 +179,5 @@ def quoted_records(lines: DataFrame, record_bytes: int = RECORD_BYTES) -> DataFr
     # A carriage return outside quotes ends a record as well.
     cut = single.unionByName(usual).unionByName(long).select("file", "place", "whole", F.posexplode(records_of(F.col("line"), True)).alias("k", "line"))
     place = F.struct("place.start", "place.at", "k")
-    return cut.select("file", place.alias("place"), "line", "whole")
+    file = F.col("file").cast(lines.schema["file"].dataType).alias("file")
+    return cut.select(file, place.alias("place"), "line", "whole")
