@@ -55,7 +55,7 @@ def read_csv_uploads(
     Every file's first filled line is its header. Files stay splittable: headers are found in one pass
     over the lines and looked up by file in a second, so no list of files passes through the driver.
     ``multiline`` allows line breaks inside quotes; the parts of a file are still read by many tasks (see
-    :func:`quoted_records`), and the records are written once.
+    :func:`quoted_records`), and only records that cross a part are written.
 
     Every line but the headers gives a row. ``reject_reason`` tells those of the parsing step,
     ``unclosed_quote`` (an odd number of quotes in a line, or with ``multiline`` a record beyond its limit) and ``repeated_header``. A file that gives
