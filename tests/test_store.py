@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import _records_and_ids
 from tillbook import SALES, operators as ops, sources as src
 from tillbook.sources import pages, snapshots
 from tillbook.spec import ledger_schema
@@ -133,6 +134,47 @@ def test_derived_ids(spark):
     assert not set(named) & {r["id"] for r in snapshots.derived_ids(lines, "c").collect()}
 
 
+def test_rows_with_derived_ids_are_moved_once_per_content(spark, store, monkeypatch):
+    """What is dealt to files are counted rows; files hold every copy in the order of tenant, date and id, also
+    where one content has more copies than are moved as one; no ranges of files are made by a sort of rows."""
+    monkeypatch.setattr(snapshots, "COPIES", 3)
+    lines = ledger(spark, rows_of(60)).drop("id", "category").withColumn("date", F.col("date").cast("string"))
+    many = lines.unionByName(lines.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("n"))
+    dealt, plans, real_copies, real_write = [], [], snapshots._copies, snapshots.write_and_read
+    monkeypatch.setattr(snapshots, "_copies", lambda df: dealt.append(df.count()) or real_copies(df))
+    monkeypatch.setattr(
+        snapshots, "write_and_read", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real_write(df)
+    )
+    src.append_batch(spark, store, many.drop("user_id"), "one", tenant="t")
+    src.append_batch(spark, store, many, "two")
+    src.append_batch(spark, store, many, "two")
+    assert all(n < 110 for n in dealt) and len(dealt) == 2
+    assert plans and not any("SortAggregate" in plan for plan in plans)
+    stored = src.read_store(spark, store)
+    assert stored.count() == stored.select("id").distinct().count() == 220
+    names = ["product", "sales", "date"]
+    texts = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert texts(stored.select(*names, "category")) == texts(many.unionAll(many).select(*names, F.lit("")))
+    assert stored.filter("user_id = 't'").count() >= 110
+    keys = lambda r: (r["user_id"], r["date"] is not None, r["date"] or DAY, r["id"])
+    for name in stored.inputFiles():
+        rows = spark.read.schema(store.schema).parquet(name).coalesce(1).collect()
+        assert [keys(r) for r in rows] == sorted(keys(r) for r in rows)
+    files = snapshots.files_of(spark, store, snapshots.version_of(spark, store)).collect()
+    assert sum(f["rows"] for f in files) == 220 and {f["file"].rsplit("/", 1)[-1] for f in files} == opened(stored)
+    assert min(f["min_id"] for f in files) == stored.agg(F.min("id")).first()[0]
+    assert sum(f["undated"] for f in files) == stored.filter("date is null").count()
+
+
+def test_records_and_ids(spark):
+    """Ids that occur again in one content, in several, or not at all."""
+    rows = [("a", 1, "x"), ("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x"), (None, 2, "z"), (None, 2, "z"), (None, 2, None), (None, 2, None), ("c", 3, "w")]
+    df = spark.createDataFrame(rows, "name string, n int, id string")
+    by = ["name", "n"]
+    want = df.groupBy(*by).agg(F.count("*").alias("records"), F.count_distinct("id").alias("ids"))
+    assert content(_records_and_ids(df, by)) == content(want)
+
+
 def opened(df):
     """Files that a plan reads."""
     return {f.rsplit("/", 1)[-1] for f in df.inputFiles()}

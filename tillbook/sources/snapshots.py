@@ -28,8 +28,9 @@ from tillbook.shared import write_and_read
 from tillbook.spec import BY, KEY, TENANT, LedgerSpec, ledger_schema
 
 #: How often a writer tries again after others committed first, tenants up to which a change set names
-#: them one by one to skip files, rows of a data file, and the part of these below which a file is small.
-TRIES, LISTED_TENANTS, FILE_ROWS, SMALL_PART = 20, 1_000, 5_000_000, 0.5
+#: them one by one to skip files, rows of a data file, the part of these below which a file is small, and
+#: equal rows that are moved as one when they get ids.
+TRIES, LISTED_TENANTS, FILE_ROWS, SMALL_PART, COPIES = 20, 1_000, 5_000_000, 0.5, 100
 
 FILES = (
     "file string, rows bigint, undated bigint, min_tenant string, max_tenant string, min_date date, max_date date, "
@@ -180,18 +181,26 @@ def _batches_of(spark: SparkSession, store: Store, version: Version | None) -> D
 def _write_files(spark: SparkSession, store: Store, rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Write rows as new data files in the order of tenant, date and id, and return their ranges. Without
     a number of ``parts`` AQE merges small ones."""
-    folder = f"data/{uuid.uuid4().hex}"
     keys = [TENANT, "date", "id"]
     rows = rows.select(*store.schema.names)
     dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
-    dealt.sortWithinPartitions(*keys).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{store.path}/{folder}")
+    return _write_sorted(spark, store, dealt.sortWithinPartitions(*keys))
+
+
+def _write_sorted(spark: SparkSession, store: Store, rows: DataFrame) -> DataFrame:
+    """Write rows that lie in the order of tenant, date and id as new data files, and return their ranges."""
+    folder, keys = f"data/{uuid.uuid4().hex}", [TENANT, "date", "id"]
+    rows.select(*store.schema.names).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{store.path}/{folder}")
     written = spark.read.schema(store.schema).parquet(f"{store.path}/{folder}")
-    name = F.concat(F.lit(f"{folder}/"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     ranges = [
         F.count("*").alias("rows"), F.count_if(F.col("date").isNull()).alias("undated"),
         *[f(c).alias(f"{n}_{'tenant' if c == TENANT else c}") for c in keys for n, f in (("min", F.min), ("max", F.max))],
     ]
-    return write_and_read(written.select(name.alias("file"), *keys).groupBy("file").agg(*ranges))
+    # Ranges of texts alone would be aggregated by a sort of all rows by file; with a set beside them (here
+    # of nothing, as nulls are left out) they are kept in a hash table that has one entry per file.
+    named = written.select(F.col("_metadata.file_name").alias("file"), *keys)
+    by_file = named.groupBy("file").agg(*ranges, F.collect_set(F.lit(None).cast("int")).alias("_none"))
+    return write_and_read(by_file.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))).drop("_none")
 
 
 def _rows(spark: SparkSession, store: Store, files: DataFrame) -> DataFrame:
@@ -251,11 +260,37 @@ def read_store(
 def derived_ids(rows: DataFrame, batch: str) -> DataFrame:
     """``rows`` with an id made of the batch, all values of the row and a number among equal rows, so that
     the same batch gives the same ids however it is partitioned. Equal rows are counted, not gathered."""
+    return _copies(_counted(rows, batch))
+
+
+def _counted(rows: DataFrame, batch: str) -> DataFrame:
+    """Distinct rows with a ``_digest`` of the batch and their values (128 bits of a SHA-256, made once per
+    distinct row), each standing for the equal rows of the numbers ``_first`` to ``_last``, a bounded many."""
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
-    copies = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    content = F.to_json(F.struct(F.lit(batch).alias("batch"), F.struct(*columns).alias("row"), "_k"), {"ignoreNullFields": "false"})
-    return copies.withColumn("id", F.sha2(content, 256)).drop("_n", "_k")
+    content = F.to_json(F.struct(F.lit(batch).alias("batch"), F.struct(*columns).alias("row")), {"ignoreNullFields": "false"})
+    named = counted.withColumn("_digest", F.left(F.sha2(content, 256), F.lit(32)))
+    numbered = named.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n", F.lit(COPIES).cast("bigint"))))
+    return numbered.withColumn("_last", F.least(F.col("_first") + COPIES - 1, "_n")).drop("_n")
+
+
+def _copies(counted: DataFrame) -> DataFrame:
+    """The rows that counted ones stand for, with ids that sort as digest and number do."""
+    rows = counted.withColumn("_k", F.explode(F.sequence("_first", "_last")))
+    number = F.lpad(F.col("_k").cast("string"), 12, "0")
+    return rows.withColumn("id", F.concat_ws("-", "_digest", number)).drop("_digest", "_first", "_last", "_k")
+
+
+def _write_with_ids(spark: SparkSession, store: Store, rows: DataFrame, batch: str, tenant: str | None) -> DataFrame:
+    """Write rows with derived ids as :func:`_write_files` does. Counted rows are moved and sorted, and become
+    copies with ids, which lie in the same order, where they are written."""
+    counted = _counted(rows, batch)
+    if tenant is not None:
+        counted = counted.withColumn(TENANT, F.lit(tenant))
+    kinds = {f.name: f.dataType for f in store.schema.fields}
+    order = [F.col(c).cast(kinds[c]) for c in (TENANT, "date")] + [F.col("_digest"), F.col("_first")]
+    dealt = counted.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _write_sorted(spark, store, append_rows(spark.createDataFrame([], store.schema), _copies(dealt)))
 
 
 def append_batch(spark: SparkSession, store: Store, rows: DataFrame, batch: str, tenant: str | None = None) -> Version:
@@ -273,9 +308,10 @@ def append_batch(spark: SparkSession, store: Store, rows: DataFrame, batch: str,
         if not batches.filter(F.col("batch") == batch).isEmpty():
             return None
         if written is None:  # a second try adds the files that the first one wrote
-            new = rows if "id" in rows.columns else derived_ids(rows, batch)
-            ledger = append_rows(spark.createDataFrame([], store.schema), new, tenant)
-            written = _write_files(spark, store, ledger)
+            if "id" in rows.columns:
+                written = _write_files(spark, store, append_rows(spark.createDataFrame([], store.schema), rows, tenant))
+            else:
+                written = _write_with_ids(spark, store, rows, batch, tenant)
         files = files_of(spark, store, base).unionByName(written)
         return files, batches.unionAll(spark.createDataFrame([(batch,)], "batch string"))
 
